@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secret_scan, token_counts
+from . import bpe, decontaminate, jaccard, quality, secret_scan, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -35,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op6_secrets, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_quality, op6_secrets, op9_token_counts, op10_decontaminate)}
 
 
 OP6_SQL = r"""
@@ -47,8 +51,8 @@ m AS (
   UNION ALL SELECT r, 2, 'hex', 32, regexp_split_to_array(t, {hex}), regexp_extract_all(t, {hex}), regexp_extract_all(t, {hex}) FROM d
 ),
 u AS (
-  SELECT r, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, unnest(list_transform(gaps[:len(hits)], x -> length(x))) AS g,
-    unnest(list_transform(hits, x -> length(x))) AS n, unnest(list_transform(counted, x -> length(x))) AS c FROM m WHERE len(hits) > 0
+  SELECT r, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, unnest(list_transform(gaps[:len(hits)], lambda x: length(x))) AS g,
+    unnest(list_transform(hits, lambda x: length(x))) AS n, unnest(list_transform(counted, lambda x: length(x))) AS c FROM m WHERE len(hits) > 0
 ),
 s AS (SELECT r, k, kind, n, c >= least AS ok, sum(g + n) OVER (PARTITION BY r, k ORDER BY i) AS e FROM u),
 g AS (
