@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, quality, secret_scan, suffix, token_counts
+from . import bpe, decontaminate, jaccard, quality, secret_scan, shards, suffix, token_counts, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +30,25 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = shards.reshard(table(spark, sf_dir, "documents"))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return back.select("doc_id", "lang", "source", "n_chars", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
@@ -43,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_quality, op4_suffix, op6_secrets, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_quality, op4_suffix, op5_shards, op6_secrets, op7_topk, op8_warc, op9_token_counts, op10_decontaminate)}
 
 
 OP6_SQL = r"""
@@ -99,5 +115,41 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN its USING (r)
 """
 
 
+OP5_SQL = """
+SELECT doc_id, lang, source, n_chars, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS t FROM pages),
+b AS (
+  SELECT *, sha1(t) AS h, max(page_id) OVER w AS response_id, row_number() OVER (PARTITION BY t, page_id ORDER BY url) AS n
+  FROM p WINDOW w AS (PARTITION BY t)
+),
+bits AS (
+  SELECT r, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+    ('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31), 1), '' ORDER BY i) AS d
+  FROM b, range(32) AS x(i) GROUP BY r
+)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = response_id AND n = 1 OR response_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = response_id AND n = 1 THEN NULL ELSE response_id END AS refers_to
+FROM b JOIN bits USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": OP6_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op5_shards": OP5_SQL, "op6_secrets": OP6_SQL, "op7_topk": OP7_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL}
