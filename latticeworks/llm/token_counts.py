@@ -22,8 +22,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,13 @@ CHUNKS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 WIDE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Runs of white space, which a prefix that ends within has as one piece.
 RUNS = re.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2,}")
+#: Text beyond the Latin blocks, whose letters the library's own tables decide.
+FAR = re.compile("[^\\x00-\\u024f]")
+_LETTERS = "".join(re.escape(chr(c)) for c in range(0x250) if chr(c).isalpha())
+_NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
+_SPACE = " \\t-\\r\\x85\\xa0"
+#: The vocabulary's rule for splitting text (a fixed, public pattern), with its classes spelled out for Latin text.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACE}{_LETTERS}{_NUMBERS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The contractions whose proper prefix is split otherwise.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -69,11 +78,15 @@ class Counter:
         self.vocab = spec["model"]["vocab"]
         # A token that merges never make is in no encoding.
         self.ids = {t: i for t, i in self.vocab.items() if t not in self.special}
-        self.longest = max(map(len, self.ids))
+        self.ends = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.ends.add_word(t, (i, len(t)))
+        self.ends.make_automaton()
         self.text = {i: t for t, i in self.ids.items()}
         self.right: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.symbol = {b: s for s, b in byte_symbols().items()}
 
@@ -96,42 +109,58 @@ class Counter:
 
     def piece(self, symbols: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... symbols (bytes) of one piece."""
-        n, ids, longest = len(symbols), self.ids, self.longest
+        n = len(symbols)
         last, count = [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ids.get(symbols[j:i])
-                if t is not None and (self.beside(last[j], t) if j else self.alone(t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
+        done, right = 0, self.right
+        for at, (t, size) in self.ends.iter(symbols):  # every vocabulary entry that ends at each symbol
+            i = at + 1
+            if i == done:
+                continue
+            j = i - size
+            if j:
+                ok = right.get(last[j] << 20 | t)
+                if ok is None:
+                    ok = self.beside(last[j], t)
+            else:
+                ok = self.alone(t)
+            if ok:
+                last[i], count[i], done = t, count[j] + 1, i
         return count[1:]
 
-    def _chunk(self, chunk: str) -> np.ndarray:
+    def counts(self, symbols: str) -> list[int]:
+        """The same, from memory, with prefixes of contractions as the library splits them."""
+        c = self.pieces.get(symbols)
+        if c is None:
+            c = self.piece(symbols)
+            if symbols in CONTRACTIONS:
+                c[1] = 2
+            if len(symbols) <= SHORT:
+                if len(self.pieces) >= REMEMBER:
+                    self.pieces.clear()
+                self.pieces[symbols] = c
+        return c
+
+    def chunk(self, chunk: str) -> np.ndarray:
         """Counts after each byte of a chunk."""
         out: list[int] = []
         base = 0
         for symbols, _ in self.pre.pre_tokenize_str(chunk):
-            c = self.pieces.get(symbols)
-            if c is None:
-                c = self.piece(symbols)
-                if symbols in CONTRACTIONS:
-                    c[1] = 2
-                if len(symbols) <= SHORT:
-                    if len(self.pieces) >= REMEMBER:
-                        self.pieces.clear()
-                    self.pieces[symbols] = c
-            out += [base + x for x in c]
+            out += [base + x for x in self.counts(symbols)]
             base = out[-1]
         return np.array(out, np.int32)
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        got = self.known.get(chunk)
+    def last_count(self, chunk: str, whole: bool = False) -> int:
+        """The count after a chunk's last byte; ``whole``: it is known to be one piece."""
+        got = self.older.get(chunk)
         if got is None:
-            got = self._chunk(chunk)
-            if len(chunk) <= SHORT:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[chunk] = got
+            if whole:
+                got = self.piece(chunk.encode().decode("latin-1").translate(self.symbol))[-1]
+            else:
+                got = sum(self.counts(symbols)[-1] for symbols, _ in self.pre.pre_tokenize_str(chunk))
+        if len(chunk) <= SHORT:
+            if len(self.known) >= REMEMBER:  # what was met again since stays
+                self.older, self.known = self.known, {}
+            self.known[chunk] = got
         return got
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -150,7 +179,7 @@ class Counter:
         out, base = [np.zeros(1, np.int32)], 0
         for part, special in self._parts(text or ""):
             if special:
-                c = base + self._chunk(part)
+                c = base + self.chunk(part)
                 c[-1] = base = base + 1
                 out.append(c)
                 continue
@@ -174,13 +203,16 @@ class Counter:
         for part, special in self._parts(text or ""):
             if special:
                 n += 1
-            elif WIDE.search(part):
-                n += int(self.chunk(part)[-1])
-            else:
-                known = self.known
-                for x in CHUNKS.findall(part):
-                    c = known.get(x)
-                    n += int((c if c is not None else self.chunk(x))[-1])
+                continue
+            near = not FAR.search(part)
+            if not near and WIDE.search(part):
+                n += self.last_count(part)
+                continue
+            chunks = (PIECES if near else CHUNKS).findall(part)
+            found = list(map(self.known.get, chunks))
+            if None in found:
+                found = [self.last_count(x, near) if c is None else c for x, c in zip(chunks, found, strict=True)]
+            n += sum(found)
         return n
 
 
