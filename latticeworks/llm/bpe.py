@@ -1,7 +1,9 @@
 """BPE encoding and decoding, with tree concatenation for long unsplit text.
 
-Words between ASCII white space are independent in this vocabulary, so a
-worker encodes each distinct word once and joins what it has. A word of more
+Words between ASCII white space are independent in this vocabulary, and in text
+of the first Latin blocks the pieces that the vocabulary's rule splits words
+into are known by plain classes of characters. So a worker encodes each
+distinct piece once and joins what it has. A word of more
 than ``LONG`` bytes is unsplit text: its documents go another way, where the
 word is normalised and pre-split, pieces longer than ``LEAF`` symbols are
 halved down to leaves, the leaves are encoded in parallel tasks, and the halves
@@ -27,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,12 +39,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, tokenizer_path
+from .token_counts import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a word, or symbols of a piece, beyond which the tree is used.
 LONG, LEAF = 32_768, 8_192
-#: Words a worker remembers; then it starts anew.
-REMEMBER = 300_000
+#: Words that a worker remembers, twice over.
+REMEMBER = 200_000
+#: Text whose case, composition or letters are left to the library: beyond the first
+#: Latin blocks, the one letter there that folds to two characters, special strings.
+FAR = re.compile("[^\\x00-\\u017f]|\\u0130|<\\|")
+_LETTERS = "".join(re.escape(chr(c)) for c in range(0x180) if chr(c).isalpha())
+_NUMBERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == "N")
+_SPACE = " \\t-\\r\\x85\\xa0"
+#: The vocabulary's rule for splitting folded text (a fixed, public pattern), with its classes spelled out.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Raw text of a leaf that holds no long word.
 PACK = 65_536
@@ -63,35 +76,39 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         spec["model"]["end_of_word_suffix"] = None
         self.inner = Tokenizer.from_str(json.dumps(spec))
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
-        new = list(words)
-        for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = (np.array(e.ids, "<u4").tobytes(), " ".join(e.tokens).encode())
+        self.symbol = {b: c for c, b in byte_symbols().items()}
+        self.known: dict[bytes | str, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes | str, tuple[bytes, bytes]] = {}
+
+    def learn(self, words: set) -> None:
+        """Encode words (bytes) by the library, and pieces of folded Latin text (str) by its merges."""
+        if len(self.known) + len(words) > REMEMBER:  # what was met again since stays
+            self.older, self.known = self.known, {}
+        new = []
+        for w in words:
+            got = self.older.get(w)
+            if got is not None:
+                self.known[w] = got
+            elif isinstance(w, str):
+                t = self.tok.model.tokenize(w.encode().decode("latin-1").translate(self.symbol))
+                self.known[w] = (np.array([x.id for x in t], "<u4").tobytes(), " ".join([x.value for x in t]).encode())
+            else:
+                new.append(w)
+        if new:
+            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                self.known[w] = (np.array(e.ids, "<u4").tobytes(), " ".join(e.tokens).encode())
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """ids (little-endian) and decoded text of each."""
-        split = [(t or "").encode().split() for t in texts]
-        lo = 0
-        while lo < len(split):  # as many texts as the memory of words holds
-            new: set[bytes] = set()
-            hi = lo
-            while hi < len(split) and (hi == lo or len(new) < REMEMBER // 4):
-                new.update(w for w in split[hi] if w not in self.known)
-                hi += 1
-            before = len(self.known)
-            if new:
-                self.learn(new)
-            if len(self.known) < before + len(new):  # started anew: words known before are gone
-                self.learn({w for ws in split[lo:hi] for w in ws if w not in self.known})
-            known = self.known
-            for ws in split[lo:hi]:
-                got = [known[w] for w in ws]
-                yield b"".join(g[0] for g in got), b" ".join(g[1] for g in got if g[1])
-            lo = hi
+        for t in texts:
+            t = t or ""
+            parts = t.encode().split() if FAR.search(t) else PIECES.findall(t.lower())
+            found = list(map(self.known.get, parts))
+            if None in found:
+                self.learn({w for w, g in zip(parts, found, strict=True) if g is None})
+                known = self.known
+                found = [g if g is not None else known[w] for w, g in zip(parts, found, strict=True)]
+            yield b"".join([g[0] for g in found]), b" ".join([g[1] for g in found if g[1]])
 
     def symbols(self, piece: str, is_end: bool) -> list[tuple[int, int]]:
         """(id, number of symbols) of a run of byte symbols."""
