@@ -32,15 +32,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import cut, fresh_path, join_small
 
 #: Compressed size at which a file is rolled, and payload bytes of a shard.
-ROLL, SHARD = 64 << 20, 256 << 20
-#: Ranges of the histogram that shards are made of.
-RANGES = 4096
+ROLL, SHARD = 64 << 20, 32 << 20
+#: Ranges of the histogram that shards are made of: at least, and at most (for very many shards).
+RANGES, MOST_RANGES = 4096, 1 << 20
+#: Repeated digests that may be broadcast (64 bytes each); beyond, the join shuffles.
+BROADCAST_DIGESTS = 100_000
 #: A fixed date keeps the files equal from run to run.
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard long, part int, file string, records long, bytes long, sha256 string"
@@ -117,13 +119,15 @@ def _fs(path: str):
 
 
 def with_roles(pages: DataFrame, revisit_from: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Rows (page_id, url, payload, length, sha, refers_to) of all pages."""
+    """Rows (page_id, url, payload, length, sha, response_id); response_id where others have the payload.
+
+    Payloads themselves don't travel: only digests are grouped, and only those that repeat are joined."""
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("length", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload")).withColumn("sha2", F.sha2("payload", 256))
-    same = F.when(F.col("length") >= revisit_from, F.col("sha2"))
-    top = p.where(F.col("length") >= revisit_from).groupBy("sha2").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha2").alias("_same"), "response_id")
-    p = p.withColumn("_same", same).join(top, "_same", "left").drop("_same", "sha2")
-    return p
+    p = p.withColumn("length", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload"))
+    same = F.when(F.col("length") >= revisit_from, F.sha2("payload", 256))
+    digests = p.select("page_id", same.alias("_same")).where("_same IS NOT NULL")
+    top = digests.groupBy("_same").agg(F.max("page_id").alias("response_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return join_small(p.withColumn("_same", same), cut(top, "repeated"), "_same", "left", BROADCAST_DIGESTS).drop("_same")
 
 
 def shard_bounds(rows: DataFrame, target: int) -> list[int]:
@@ -131,8 +135,9 @@ def shard_bounds(rows: DataFrame, target: int) -> list[int]:
     s = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("length")).first()
     if s[0] is None or (s[2] or 0) <= target:
         return []
-    lo, width = s[0], max(1, -(-(s[1] - s[0] + 1) // RANGES))
-    ranges = rows.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id") - lo) / width).alias("r")).agg(F.sum("length").alias("n")).orderBy("r").collect()  # RANGES rows at most
+    n = min(MOST_RANGES, max(RANGES, 4 * s[2] // target))
+    lo, width = s[0], max(1, -(-(s[1] - s[0] + 1) // n))
+    ranges = rows.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id") - lo) / width).alias("r")).agg(F.sum("length").alias("n")).orderBy("r").collect()  # MOST_RANGES rows at most
     out, size = [], 0
     for r in ranges:
         if size >= target:
@@ -155,12 +160,6 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
         rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(which).cast("long"))
     else:
         rows = rows.withColumn("shard", F.lit(0).cast("long"))
-    # a response is decided within a shard: rows of its id and payload stand together
-    twin = F.row_number().over(Window.partitionBy("shard", "page_id", "sha").orderBy("url"))
-    repeated = F.col("response_id").isNotNull() & (F.col("page_id") == F.col("response_id"))
-    rows = rows.withColumn("_n", twin)
-    rows = rows.withColumn("refers_to", F.when(repeated & (F.col("_n") == 1), F.lit(None)).otherwise(F.col("response_id"))).drop("_n", "response_id")
-
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
         fs.create_dir(root, recursive=True)
@@ -185,7 +184,11 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
                 if state["out"] is None:
                     state |= {"records": 0, "bytes": 0, "hash": hashlib.sha256(), "out": fs.open_output_stream(f"{root}/.shard-{state['shard']:06d}-{state['part']:04d}-{attempt}.warc.gz.tmp")}
                 sha = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                data = member(record(r["page_id"], r["url"], r["payload"], r["length"], sha, r["refers_to"]))
+                # rows of one id and payload stand together; the first of them can be the response
+                first = (r["page_id"], r["sha"]) != state.get("last")
+                state["last"] = (r["page_id"], r["sha"])
+                refers = None if first and r["page_id"] == r["response_id"] else r["response_id"]
+                data = member(record(r["page_id"], r["url"], r["payload"], r["length"], sha, refers))
                 state["out"].write(data)
                 state["hash"].update(data)
                 state["records"] += 1
