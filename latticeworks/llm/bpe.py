@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, tokenizer_path
+from .common import ROW, packed, partitions, tokenizer_path
 from .token_counts import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
@@ -305,14 +305,14 @@ def encode(docs: DataFrame, name: str = VOCABULARY, id_col: str = "doc_id", text
 
 
 def with_tokens(docs: DataFrame, name: str = VOCABULARY, text_col: str = "text", long: int = LONG, leaf: int = LEAF) -> DataFrame:
-    """``docs`` with a struct column ``_tokens``: n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_t", t)
+    """``docs`` with a struct column ``_tokens`` (in place of one of that name): n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
+    d = packed(docs, _t=text_col).withColumn("_t", F.coalesce("_t", F.lit("")))
     short = d.where(~is_long(F.col("_t"), long)).withColumn("_r", encode_short(F.col("_t"), name))
-    short = short.withColumn("_tokens", F.struct("_r.n_tokens", "_r.ids", "_r.decoded")).drop("_r", "_t")
+    short = short.select(ROW, F.struct("_r.n_tokens", "_r.ids", "_r.decoded").alias("_tokens"))
     rows, texts = _long_rows(d, "_t", name, long, leaf)
     texts = texts.select(F.col("key").alias("_key"), F.struct((F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded").alias("_tokens"))
-    return short.unionByName(rows.join(texts, "_key").drop("_key", "_t"))
+    every = short.unionByName(rows.join(texts, "_key").select(ROW, "_tokens"))
+    return every.select(*(F.col(f"{ROW}.`{c}`") for c in docs.columns if c != "_tokens"), "_tokens")
 
 
 def encode_text(text: str | None, name: str = VOCABULARY, long: int = LONG, leaf: int = LEAF) -> list[int]:

@@ -40,10 +40,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A column that holds a whole input row while an operator adds columns of its own.
+ROW = "_latticeworks_row"
+
+
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """Rows as one struct, beside the named columns: nothing that is added clashes with a column of the input."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW), *(F.col(f"`{c}`").alias(n) for n, c in named.items()))
+
+
+def unpacked(rows: DataFrame, names: list[str], **changed: str) -> DataFrame:
+    """The rows that :func:`packed` took, some columns changed to others beside them."""
+    new = {name: F.col(c) for name, c in changed.items()}
+    return rows.select(*(new.get(n, F.col(f"{ROW}.`{n}`")).alias(n) for n in names))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`fresh_path`, through Hadoop's file API."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,7 +70,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str, bound: int) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str, bound: int) -> DataFrame:
     """Join with ``small`` broadcast only if it has at most ``bound`` rows.
 
     ``small`` should be cheap to count (a table that was cut). Beyond the bound

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a space.
@@ -216,13 +218,15 @@ def with_hits(docs: DataFrame, items: DataFrame, out: str = "_hits", window: int
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """id, counts, spans and whether any window occurs."""
-    return with_hits(docs, items, **more).select(F.col(id_col), "_hits.*", (F.col("_hits.n_hit") > 0).alias("contaminated"))
+    text_col = more.pop("text_col", "text")
+    hit = with_hits(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), items, text_col="_t", **more)
+    return hit.select(F.col("_id").alias(id_col), "_hits.*", (F.col("_hits.n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, max_words: int = 0, max_coverage: float = 1.0, text_col: str = "text", **more) -> DataFrame:
     """``docs`` without the documents that have more than ``max_words`` hit words or a larger coverage; columns as they were."""
-    hit = with_hits(docs, items, text_col=text_col, **more)
-    return hit.where((F.col("_hits.n_hit") <= max_words) & (F.col("_hits.coverage") <= max_coverage)).drop("_hits")
+    hit = with_hits(packed(docs, _t=text_col), items, text_col="_t", **more)
+    return unpacked(hit.where((F.col("_hits.n_hit") <= max_words) & (F.col("_hits.coverage") <= max_coverage)), docs.columns)
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, text_col: str = "text", **more) -> DataFrame:
@@ -246,5 +250,5 @@ def cut_spans(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, text_c
             out.append((b"".join(keep) + raw[at:]).decode("utf-8", "replace"))
         return pd.Series(out, index=texts.index)
 
-    hit = with_hits(docs, items, text_col=text_col, **more)
-    return hit.withColumn(text_col, removed(F.col(text_col), F.col("_hits.spans"))).drop("_hits")
+    hit = with_hits(packed(docs, _t=text_col), items, text_col="_t", **more)
+    return unpacked(hit.withColumn("_t", removed("_t", "_hits.spans")), docs.columns, **{text_col: "_t"})

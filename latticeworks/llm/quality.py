@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 GROUP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 8, 48, 24
 HALF = CHUNK // 2
 #: Chunks that are convolved at once; bounds the memory of a task.
@@ -210,6 +212,12 @@ def score(text: Column, net: Net) -> Column:
     return scored(text)
 
 
+def keep(docs: DataFrame, net: Net, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` without those that score below the threshold; columns as they were."""
+    scored = packed(docs, _t=text_col).withColumn("_score", score(F.col("_t"), net))
+    return unpacked(scored.where(F.col("_score") >= threshold), docs.columns)
+
+
 def classify(docs: DataFrame, net: Net, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted of each row."""
     return (

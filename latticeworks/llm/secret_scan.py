@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, join_small, packed, unpacked
 
 #: Candidate ids that may be broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
@@ -132,7 +132,7 @@ def flagged(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, and per kind the spans found: n_<kind>, base_sha256, spans (``kind:start:end``, by start, then kind)."""
-    d = flagged(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), rules, id_col, "_text")
+    d = flagged(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), rules, "_id", "_text")
     none = F.array().cast("array<struct<s:int,e:int>>")
     for r in rules:
         asked = F.array_contains(F.coalesce(F.col("_kinds"), F.array().cast("array<string>")), r.kind) if r.query() else F.lit(True)
@@ -140,20 +140,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     listed = F.array_sort(F.concat(*(_numbered(f"_{r.kind}", i) for i, r in enumerate(rules))))
     names = F.array(*(F.lit(r.kind) for r in rules))
     joined = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
-    d = d.select(id_col, *(F.size(f"_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules), joined.alias("spans"))
+    d = d.select(F.col("_id").alias(id_col), *(F.size(f"_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules), joined.alias("spans"))
     return d.withColumn("base_sha256", F.sha2("spans", 256))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of every rule replaced by ``[kind]``; rules apply one after the other. Columns as they were."""
-    names = docs.columns
-    d = flagged(docs, rules, id_col, text_col)
+    d = flagged(packed(docs, _id=id_col, _text=text_col), rules, "_id", "_text")
     for r in rules:
-        t, rx = F.col(text_col), pattern(r)
+        t, rx = F.col("_text"), pattern(r)
         whole = F.regexp_extract_all(t, F.lit(rx), F.lit(0))
         counted = F.regexp_extract_all(t, F.lit(rx), F.lit(r.group)) if r.group else whole
         put = _masked(whole, counted, r)
         rebuilt = F.array_join(F.flatten(F.zip_with(F.split(t, rx, -1), put, lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
         asked = F.array_contains(F.coalesce(F.col("_kinds"), F.array().cast("array<string>")), r.kind) if r.query() else F.lit(True)
-        d = d.withColumn(text_col, F.when(asked & t.rlike(rx), rebuilt).otherwise(t))
-    return d.select(names)
+        d = d.withColumn("_text", F.when(asked & t.rlike(rx), rebuilt).otherwise(t))
+    return unpacked(d, docs.columns, **{text_col: "_text"})
