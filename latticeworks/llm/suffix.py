@@ -10,13 +10,14 @@ hash at one distance. Suffixes are sorted at anchors only.
    either way). Anchors whose hash occurs once are done.
 2. Anchors of one hash whose surroundings are all equal are copies: what fits
    around them is removed.
-3. Of the others, each distinct surrounding is fetched once. Those of one
-   anchor hash are sorted by the text from the anchor on, and by the text
+3. Others can only share a window if they agree in one of four strings of
+   ``LENGTH`` - 100 bytes around the anchor (every window holds one of them);
+   their hashes are counted, and only surroundings that share one are fetched,
+   each distinct one once. Those of one anchor hash are sorted by the text from the anchor on, and by the text
    before it, with a mergesort that compares suffixes by binary search over
-   prefix polynomial hashes for their common extension. Neighbours' extensions
-   to the right and left bound what an anchor can share; where both together
-   reach ``LENGTH``, the windows within the bounds are tested from the outside
-   in, and equal hashes are verified byte by byte.
+   prefix polynomial hashes for their common extension. From each string a walk
+   over its neighbours in order finds the longest extension to either side that,
+   with the other, reaches ``LENGTH``; what is found is verified byte by byte.
 4. The spans of each text are merged and cut out.
 
 An anchor hash with more than ``MOST`` distinct surroundings is not gathered in
@@ -41,15 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, partitions
+from .common import cut, join_small, packed, partitions, unpacked
 
 LENGTH, GRAM = 400, 32
 #: Distinct surroundings of one anchor hash that one task sorts.
 MOST = 8_000
 #: Bytes of surroundings that are sorted at once.
-BLOCK = 8 << 20
+BLOCK = 1 << 20
+#: Neighbours on either side that a walk visits before its group is scanned instead.
+WALK = 48
 #: Row numbers that may be broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Repeated windows of very common anchors that may be broadcast (20 bytes each).
+BROADCAST_WINDOWS = 300_000
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -63,7 +68,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Follows what comes after an anchor; no byte has this value.
+SEPARATOR = 256
+_BYTE = mix(np.arange(1, 258, dtype=np.uint64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +137,23 @@ def _around(p: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return h, at - lo, hi - at
 
 
+#: Between the four strings' starts, in bytes before the anchor.
+STEP = 100
+PARTS = LENGTH // STEP
+FOUND = "row long, anchor long, pos int, around long, before int, after int, " + ", ".join(f"q{a} int" for a in range(PARTS))
+
+
+def _partial(p: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """32-bit hashes of the strings from ``STEP * a`` bytes before each anchor; 0 where the text doesn't hold it."""
+    out = []
+    for a in range(PARTS):
+        lo, hi = at - STEP * a, at - STEP * a + LENGTH - STEP
+        ok = (lo >= 0) & (hi <= n)
+        h = (mix(hashes(p, np.where(ok, lo, 0), np.where(ok, hi, 0))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out.append(np.where(ok, np.where(h == 0, 1, h), 0).astype(np.int32))
+    return out
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, texts = batch.column(0), batch.column(1)
@@ -143,7 +167,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = prefix(data)
             at, h = anchors(data, p)
             around, before, after = _around(p, at, len(data))
-            out.append([np.full(len(at), row.as_py(), np.int64), h.view(np.int64), at.astype(np.int32), around.view(np.int64), before.astype(np.int32), after.astype(np.int32)])
+            out.append([np.full(len(at), row.as_py(), np.int64), h.view(np.int64), at.astype(np.int32), around.view(np.int64), before.astype(np.int32), after.astype(np.int32), *_partial(p, at, len(data))])
             n += len(at)
             if n > 50_000:
                 yield _anchor_batch(out)
@@ -153,7 +177,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchor_batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["row", "anchor", "pos", "around", "before", "after"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["row", "anchor", "pos", "around", "before", "after", *(f"q{a}" for a in range(PARTS))])
 
 
 class Suffixes:
@@ -222,68 +246,108 @@ class Suffixes:
         return order
 
 
-def reaches(group: np.ndarray, rows: list[bytes], before: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reaches(group: np.ndarray, rows: list[bytes], before: np.ndarray, several: np.ndarray, walk: int = WALK) -> tuple[np.ndarray, np.ndarray]:
     """For each surrounding, bytes before and after its anchor that repeated windows
     over the anchor cover; ``group`` (its anchor hash) is ascending, ``several``
-    tells that the same surrounding occurs more than once."""
+    tells that the same surrounding occurs more than once.
+
+    A string with L bytes before the anchor and R after it in common with another
+    covers them if L + R is LENGTH at least. Strings are sorted by what follows the
+    anchor, then by what precedes it, read backwards; from each one a walk to either
+    side meets ever smaller R, and ends when not even the best L of all (a neighbour's
+    in the order of what precedes) could make up for it.
+    """
     n = len(rows)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    data = np.frombuffer(b"".join(rows), np.uint8)
-    at, end = start + before, start + sizes
-    forward = Suffixes(data)
-    order = forward.sort(group, at, end - at)
-    right = _neighbours(forward, group, at, end - at, order)
-    backward = Suffixes(data[::-1].copy())
-    rat, rsize = len(data) - at, at - start
-    order = backward.sort(group, rat, rsize)
-    left = _neighbours(backward, group, rat, rsize, order)
+    size = np.array([len(r) for r in rows], np.int64)
+    after = size - before
+    both = [np.frombuffer(r, np.uint8).astype(np.uint16) for r in rows]
+    stop = np.array([SEPARATOR], np.uint16)
+    data = np.concatenate([x for r, m in zip(both, before, strict=True) for x in (r[m:], stop, r[:m][::-1])])
+    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    back = start + after + 1
+    s = Suffixes(data)
+    order = s.sort(group, start, size + 1)
+    a, b = order[:-1], order[1:]
+    link = np.where(group[a] == group[b], s.common(start[a], start[b], np.minimum(size[a], size[b]) + 1), -1)
+    by_left = s.sort(group, back, before)
+    left = np.minimum(_neighbours(s, group, back, before, by_left), LENGTH)
     reach_l, reach_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    whole = several & (sizes >= LENGTH)
-    reach_l[whole], reach_r[whole] = before[whole], (end - at)[whole]
-    # a window with l bytes before the anchor needs l <= left and LENGTH - l <= right
-    most, least = np.minimum(left, LENGTH), np.maximum(LENGTH - right, 0)
-    most = np.where(whole, np.minimum(np.maximum(most, before), LENGTH), most)
-    able = (most >= least) | whole
-    for outward in (True, False):  # the most bytes before the anchor, then the most after it
-        todo = able & ~whole if outward else able & ~whole & (reach_l + reach_r > 0)
-        for step in range(LENGTH + 1):
-            if not todo.any():
+    whole = several & (size >= LENGTH)
+    reach_l[whole], reach_r[whole] = before[whole], after[whole]
+    twin_l, twin_r = np.full(n, -1), np.full(n, -1)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    open_ = np.zeros(n, bool)
+    for way in (1, -1):
+        me = np.flatnonzero(~whole)
+        run = np.full(len(me), 2 * LENGTH + 1)
+        for step in range(1, walk + 2):
+            at = place[me] + way * step
+            inside = (at >= 0) & (at < n)
+            me, run, at = me[inside], run[inside], at[inside]
+            run = np.minimum(run, link[at - 1] if way > 0 else link[at])
+            r = np.minimum(np.minimum(run, after[me]), LENGTH)
+            more = (run > 0) & (r + left[me] >= LENGTH) & ((reach_l[me] < left[me]) | (r > reach_r[me]))
+            me, run, at, r = me[more], run[more], at[more], r[more]
+            if not len(me):
                 break
-            l = LENGTH - step if outward else step
-            fits = (least <= l) & (l <= most) | whole & (before >= l) & (end - at >= LENGTH - l)
-            ask = todo & fits
-            if not ask.any():
-                continue
-            asked = np.isin(group, group[ask]) & fits
-            k = np.flatnonzero(asked)
-            k = k[(before[k] >= l) & ((end - at)[k] >= LENGTH - l)]
-            h = hashes(forward.p, at[k] - l, at[k] - l + LENGTH)
-            o = np.lexsort((h, group[k]))
-            same = (h[o][1:] == h[o][:-1]) & (group[k][o][1:] == group[k][o][:-1])
-            for i in np.flatnonzero(same):  # collision verification
-                x, y = at[k[o[i]]] - l, at[k[o[i + 1]]] - l
-                if not np.array_equal(data[x : x + LENGTH], data[y : y + LENGTH]):
-                    same[i] = False
-            twin = np.zeros(len(k), bool)
-            twin[o[1:][same]] = True
-            twin[o[:-1][same]] = True
-            done = k[twin]
-            done = done[todo[done]]
-            if outward:
-                reach_l[done] = l
-                reach_r[done] = np.maximum(reach_r[done], LENGTH - l)
-            else:
-                reach_r[done] = LENGTH - l
-                reach_l[done] = np.maximum(reach_l[done], l)
-            todo[done] = False
-            if outward:
-                todo &= least < l
-            else:
-                todo &= most > l
+            if step > walk:
+                open_[me] = True
+                break
+            mate = order[at]
+            l = np.minimum(s.common(back[me], back[mate], np.minimum(before[me], before[mate])), LENGTH)
+            found = l + r >= LENGTH
+            i, j, l, r = me[found], mate[found], l[found], r[found]
+            longer = l > reach_l[i]
+            reach_l[i[longer]], twin_l[i[longer]] = l[longer], j[longer]
+            longer = (r > reach_r[i]) | (twin_r[i] < 0)
+            reach_r[i[longer]], twin_r[i[longer]] = r[longer], j[longer]
+            reach_l[i[(twin_l[i] < 0)]] = 0
+    # collision verification of the outermost window on either side, byte by byte
+    raw = np.frombuffer(b"".join(rows), np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]]) + before
+    span = np.arange(LENGTH)
+    for twins, first in ((twin_l, -reach_l), (twin_r, reach_r - LENGTH)):
+        k = np.flatnonzero((twins >= 0) & ~whole)
+        for part in np.array_split(k, max(1, len(k) // 2048)):
+            x, y = at[part] + first[part], at[twins[part]] + first[part]
+            open_[part] |= (raw[x[:, None] + span] != raw[y[:, None] + span]).any(axis=1)
+    if open_.any():
+        again = np.isin(group, group[open_])
+        l, r = _scan(group[again], [rows[i] for i in np.flatnonzero(again)], before[again], whole[again])
+        reach_l[again], reach_r[again] = l, r
     return reach_l, reach_r
 
 
+def _scan(group: np.ndarray, rows: list[bytes], before: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for groups in which the walk is long: equal windows at each distance, from the outside in."""
+    n = len(rows)
+    size = np.array([len(r) for r in rows], np.int64)
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]]) + before
+    after = size - before
+    p = prefix(data)
+    reach_l, reach_r = np.where(whole, before, -1), np.where(whole, after, -1)
+    for l in range(LENGTH + 1):
+        k = np.flatnonzero((before >= l) & (after >= LENGTH - l))
+        if not len(k):
+            continue
+        h = hashes(p, at[k] - l, at[k] - l + LENGTH)
+        o = np.lexsort((h, group[k]))
+        k, h = k[o], h[o]
+        same = (h[1:] == h[:-1]) & (group[k][1:] == group[k][:-1])
+        for i in np.flatnonzero(same):
+            x, y = at[k[i]] - l, at[k[i + 1]] - l
+            same[i] = np.array_equal(data[x : x + LENGTH], data[y : y + LENGTH])
+        hit = np.zeros(len(k), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        hit = k[hit & ~whole[k]]
+        reach_l[hit] = l  # grows, so the last is the most
+        reach_r[hit] = np.maximum(reach_r[hit], LENGTH - l)
+    return np.maximum(reach_l, 0), np.maximum(reach_r, 0)
+
+
 def _neighbours(s: Suffixes, group: np.ndarray, at: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Longest common extension of each string with any other of its group: that with a neighbour in order."""
     out = np.zeros(len(at), np.int64)
@@ -316,36 +380,46 @@ def _reach_batch(held: list[dict]) -> pa.RecordBatch:
     held = [held[i] for i in order]
     anchor = anchor[order]
     l, r = reaches(anchor, [x["text"] for x in held], np.array([x["before"] for x in held], np.int64), np.array([x["several"] for x in held], bool))
-    got = (l > 0) | (r > 0)
+    got = ((l > 0) | (r > 0)) & ~np.array([x["several"] for x in held], bool)  # those are known without a sort
     return pa.RecordBatch.from_arrays([pa.array(anchor[got]), pa.array(np.array([x["around"] for x in held], np.int64)[got]), pa.array(l[got].astype(np.int32)), pa.array(r[got].astype(np.int32))], names=["anchor", "around", "l", "r"])
 
 
 def spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     """(row, lo, hi) of bytes to remove, overlapping; ``texts`` has row (unique long) and raw (binary)."""
     spark = texts.sparkSession
-    found = cut(texts.select("row", "raw").mapInArrow(_find, "row long, anchor long, pos int, around long, before int, after int"), "anchors")
-    kinds = found.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "before", "after")).alias("at"))
-    per = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    kinds = cut(kinds.join(per, "anchor"), "kinds")
-    fit = F.col("at.before") + F.col("at.after")
-    copies = kinds.where((F.col("kinds") == 1) & (fit >= LENGTH)).select("anchor", "around", F.col("at.before").alias("l"), F.col("at.after").alias("r"))
-    mixed = kinds.where(F.col("kinds") > 1).select("anchor", "around", "kinds", (F.col("n") > 1).alias("several"), "at.*")
+    found = cut(texts.select("row", "raw").mapInArrow(_find, FOUND), "anchors")
+    per = found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("around").alias("a0"), F.max("around").alias("a1"), F.min("before").alias("l"), F.min("after").alias("r"))
+    per = cut(per.where("total > 1").drop("total"), "repeated")
+    # equal surroundings have equal lengths either way
+    copies = per.where((F.col("a0") == F.col("a1")) & (F.col("l") + F.col("r") >= LENGTH)).select("anchor", F.col("a0").alias("around"), "l", "r")
+    several = join_small(found, per.where("a0 <> a1").select("anchor"), "anchor", "left_semi", BROADCAST_IDS)
+    kinds = cut(several.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "before", "after", *(f"q{a}" for a in range(PARTS)))).alias("at")), "kinds")
+    whole = kinds.where((F.col("n") > 1) & (F.col("at.before") + F.col("at.after") >= LENGTH)).select("anchor", "around", F.col("at.before").alias("l"), F.col("at.after").alias("r"))
+    strings = kinds.select("anchor", "around", F.posexplode(F.array(*(f"at.q{a}" for a in range(PARTS)))).alias("a", "q")).where("q <> 0")
+    shared = cut(strings.groupBy("anchor", "a", "q").count().where("count > 1").drop("count"), "shared")
+    able = join_small(strings, shared, ["anchor", "a", "q"], "left_semi", BROADCAST_WINDOWS).groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1, a)")).alias("mask"))
+    kinds = cut(kinds.select("anchor", "around", "n", *(f"at.{c}" for c in ("row", "pos", "before", "after"))).join(able, ["anchor", "around"]), "able")
+    hot = cut(kinds.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.lit(True).alias("hot")), "hot")
+    mixed = join_small(kinds, hot, "anchor", "left", BROADCAST_IDS).select("anchor", "around", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("n") > 1).alias("several"), "mask", "row", "pos", "before", "after")
 
     @F.pandas_udf("array<binary>")
     def pieces(raw: pd.Series, wanted: pd.Series) -> pd.Series:
         return pd.Series([[t[w["pos"] - w["before"] : w["pos"] + w["after"]] for w in ws] for t, ws in zip(raw, wanted, strict=True)])
 
-    asked = mixed.groupBy("row").agg(F.collect_list(F.struct("anchor", "around", "kinds", "several", "pos", "before", "after")).alias("wanted"))
+    asked = mixed.groupBy("row").agg(F.collect_list(F.struct("anchor", "around", "hot", "several", "mask", "pos", "before", "after")).alias("wanted"))
     asked = cut(asked, "asked")
     fetched = join_small(texts.select("row", "raw"), asked.select("row"), "row", "left_semi", BROADCAST_IDS).join(asked, "row").withColumn("piece", pieces("raw", "wanted"))
     fetched = fetched.select(F.explode(F.arrays_zip("wanted", "piece")).alias("x")).select("x.wanted.*", F.col("x.piece").alias("text"))
-    fetched = cut(fetched.select("anchor", "around", "kinds", "before", "text", "several"), "surroundings")
-    few = fetched.where(F.col("kinds") <= most).select("anchor", "around", "before", "text", "several")
+    fetched = fetched.select("anchor", "around", "hot", "before", "text", "several", "mask")
+    has_hot = not hot.isEmpty()
+    if has_hot:
+        fetched = cut(fetched, "surroundings")
+    few = fetched.where("NOT hot").select("anchor", "around", "before", "text", "several")
     few = few.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     reach = few.mapInArrow(_sorted_groups, "anchor long, around long, l int, r int")
-    parts = [copies, reach]
-    if not fetched.where(F.col("kinds") > most).isEmpty():
-        parts.append(_dealt(fetched.where(F.col("kinds") > most)))
+    parts = [copies, whole, reach]
+    if has_hot:
+        parts.append(_dealt(fetched.where("hot").drop("hot")))
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
@@ -362,6 +436,8 @@ def _dealt(many: DataFrame) -> DataFrame:
                 data = np.frombuffer(r["text"], np.uint8)
                 last = len(data) - LENGTH
                 lo = np.arange(max(0, r["before"] - LENGTH), min(r["before"], last) + 1)
+                # only windows that hold a string which is shared
+                lo = lo[(r["mask"] >> np.minimum((r["before"] - lo) // STEP, PARTS - 1)) & 1 == 1]
                 if not len(lo):
                     continue
                 h = mix(hashes(prefix(data), lo, lo + LENGTH))
@@ -371,9 +447,9 @@ def _dealt(many: DataFrame) -> DataFrame:
                     names=["anchor", "around", "l", "h", "n"],
                 )
 
-    own = cut(many.mapInArrow(windows, "anchor long, around long, l int, h long, n long"), "windows")
-    again = own.groupBy("anchor", "l", "h").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "l", "h")
-    hit = own.join(again, ["anchor", "l", "h"], "left_semi")
+    own = many.mapInArrow(windows, "anchor long, around long, l int, h long, n long")
+    again = cut(own.groupBy("anchor", "l", "h").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "l", "h"), "again")
+    hit = join_small(own, again, ["anchor", "l", "h"], "left_semi", BROADCAST_WINDOWS)
     return hit.groupBy("anchor", "around").agg(F.max("l").cast("int").alias("l"), (F.lit(LENGTH) - F.min("l")).cast("int").alias("r"))
 
 
@@ -422,20 +498,19 @@ def cut_out(texts: DataFrame, most: int = MOST) -> DataFrame:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the hash of what is kept of every text."""
-    done = cut_out(_tagged(docs.select(F.col(id_col), F.col(text_col)), text_col), most)
-    return done.select(id_col, F.octet_length("raw").cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
+    done = cut_out(_tagged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_t"), most)
+    return done.select(F.col("_id").alias(id_col), F.octet_length("raw").cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFrame:
     """``docs`` with repeated strings cut out; a cut within a character leaves a replacement character."""
-    names = docs.columns
-    done = cut_out(_tagged(docs, text_col), most)
+    done = cut_out(_tagged(packed(docs, _t=text_col), "_t"), most)
 
     @F.pandas_udf("string")
     def text(raw: pd.Series) -> pd.Series:
         return pd.Series([bytes(r).decode("utf-8", "replace") for r in raw])
 
-    return done.withColumn(text_col, text(F.col("_cut.kept"))).select(names)
+    return unpacked(done.withColumn("_t", text("_cut.kept")), docs.columns, **{text_col: "_t"})
 
 
 def brute(texts: list[bytes]) -> list[tuple[int, int, str]]:
