@@ -2,7 +2,7 @@
 
 Every byte that a repeated ``LENGTH``-byte string covers is removed. Strings
 that are equal choose the same anchor: in each window of ``LENGTH`` bytes the
-``GRAM``-byte string with the least hash (the last of equals), so on average
+``GRAM``-byte string with the least hash (by its upper bits, the last of equals), so on average
 one place in 185 bytes is an anchor, and equal windows have anchors of one
 hash at one distance. Suffixes are sorted at anchors only.
 
@@ -100,24 +100,27 @@ def hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (p[end] - p[start]) * down[start]
 
 
+#: Low bits of a hash that give way to a position while windows are compared.
+PLACE = np.uint64((1 << 26) - 1)
+
+
 def window_min_last(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the least value in each window of w values, the last of equals."""
-    n = len(h) - w + 1
-    # last of equals: compare by value, then by position, in one pass of doubling
-    at = np.arange(len(h), dtype=np.int64)
-    val = h
+    """Position of the least value in each window of w values, the last of equals; the low 26 bits don't count.
+
+    Positions go into those bits, counted down, so that a minimum takes the value and the position at once;
+    longer arrays go in parts that overlap."""
+    most = int(PLACE)
+    if len(h) > most:
+        parts = [window_min_last(h[i : i + most], w) + i for i in range(0, len(h) - w + 1, most - w + 1)]
+        return np.concatenate(parts)[: len(h) - w + 1]
+    val = (h & ~PLACE) | (PLACE - np.arange(len(h), dtype=np.uint64))
     span = 1
     while span * 2 <= w:
-        a, b = val[:-span], val[span:]
-        right = b <= a
-        at = np.where(right, at[span:], at[:-span])
-        val = np.where(right, b, a)
+        val = np.minimum(val[:-span], val[span:])
         span *= 2
     if span < w:
-        shift = w - span
-        a, b = val[: n], val[shift : shift + n]
-        return np.where(b <= a, at[shift : shift + n], at[:n])
-    return at[:n]
+        val = np.minimum(val[: len(h) - w + 1], val[w - span : len(h) - span + 1])
+    return (PLACE - (val & PLACE)).astype(np.int64)
 
 
 def anchors(data: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
