@@ -11,8 +11,8 @@ hexadecimal runs) has no query and scans every text.
 Positions come from ``split`` and ``regexp_extract_all`` with one expression:
 a match starts after all gaps and matches before it. Both work on code points.
 
-Defined cases: a null or empty text has no spans; a null id stays a row of its
-own; rows with equal ids and texts give equal results each; an id's candidates
+Defined cases: a null or empty text has no spans; a row with a null id is not
+in the index and is verified with every rule; rows with equal ids and texts give equal results each; an id's candidates
 are the union over its rows (verification is per row); extra columns are
 ignored here and kept by :func:`redact`.
 """
@@ -123,11 +123,12 @@ def _masked(whole: Column, counted: Column, rule: Rule) -> Column:
 
 
 def flagged(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_kinds``: the indexed rules that each row is a candidate of."""
+    """``docs`` with ``_kinds``: the indexed rules that each row is a candidate of; all for a null id, which no posting names."""
     found = cut(intersected(cut(index(docs, rules, id_col, text_col), "postings"), rules), "candidates")
     found = found.select(F.col("id").alias("_cand"), F.col("kinds").alias("_kinds"))
     keyed = docs.withColumn("_cand", F.col(id_col))
-    return join_small(keyed, found, "_cand", "left", BROADCAST_IDS).drop("_cand")
+    every = F.array(*(F.lit(r.kind) for r in rules if r.query())).cast("array<string>")
+    return join_small(keyed, found, "_cand", "left", BROADCAST_IDS).withColumn("_kinds", F.when(F.col("_cand").isNull(), every).otherwise(F.col("_kinds"))).drop("_cand")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -265,6 +265,15 @@ def test_secrets_equal_brute_force(spark):
     assert ordered(got.where("doc_id IS NOT NULL").select(at).collect()) == ordered(x for x in want if x[0] is not None)
 
 
+def test_secrets_of_rows_without_id(spark):
+    texts = [*secret_texts(), "a token=abcdefgh1 b AKIAABCDEFGHIJKL12 c"]
+    d = spark.createDataFrame([(None, t) for t in texts] + [(1, "clean")], "doc_id long, text string")
+    at = ["doc_id", "n_assign", "n_access", "n_hex", "spans", "base_sha256"]
+    assert ordered(secret_scan.scan(d).select(at).collect()) == ordered([(1, *secrets_of("clean")), *((None, *secrets_of(t)) for t in texts)])
+    masked = [r["text"] for r in secret_scan.redact(d).collect()]
+    assert "a [assign] b [access] c" in masked and not any("AKIAABCDEFGHIJKL12" in (t or "") for t in masked)
+
+
 def test_candidates_hold_every_match(spark):
     rows = list(enumerate(secret_texts()))
     d = spark.createDataFrame(rows, "doc_id long, text string")
