@@ -127,6 +127,49 @@ def test_components_equal_brute_force(docs, texts, hot):
     assert ordered(got) == ordered(similar(texts))
 
 
+def linked_classes(texts):
+    """Distinct sets with an id, each with the ids of its rows, and all pairs of them that link."""
+    ids = defaultdict(list)
+    for i, t in texts:
+        w = (t or "").encode().translate(jaccard._LOWER).split()
+        if w and i is not None:
+            ids[frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))].append(i)
+    kinds = list(ids)
+    pairs = [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if 100 * len(a & b) >= 80 * len(a | b)]
+    return ids, pairs
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2500])
+def test_no_link_is_lost(spark, texts, block):
+    r = random.Random(12)
+    base = [f"w{r.randrange(1000)}" for _ in range(160)]
+    near = []
+    for k in range(40):
+        x = list(base)
+        for _ in range(r.randint(1, 2)):
+            x[r.randrange(len(x))] = f"y{k}"
+        near.append((1000 + k, " ".join(x)))
+    rows = [*[x for x in texts if x[0] != 0], *near, (1100, near[0][1]), (None, near[1][1] + " z")]
+    ids, pairs = linked_classes(rows)
+    assert len(pairs) > 300
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.links(d, block=block).collect()
+    assert sorted(sorted(x) for x in got) == sorted(sorted((min(ids[a]), min(ids[b]))) for a, b in pairs)
+    want = {i: (min(v), sum(s in p for p in pairs)) for s, v in ids.items() for i in v}
+    found = jaccard.join(d, block=block).collect()
+    assert len(found) == len(rows)
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in found if x["doc_id"] in want} == want
+    assert all(x["n_links"] == 0 for x in found if x["doc_id"] not in want)
+
+
+def test_shared_counts_what_two_sets_have_in_common():
+    r = np.random.default_rng(4)
+    x, y = ([np.unique(r.integers(0, 4000, r.integers(1, 900))).astype(np.uint64) for _ in range(n)] for n in (30, 70))
+    x += [np.union1d(s, np.arange(5000, 5300, dtype=np.uint64)) for s in x[:20]]
+    y += [np.union1d(s, np.arange(5000, 5300, dtype=np.uint64)) for s in y[:20]]
+    assert jaccard.shared(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_one_of_each_group_stays(docs, texts):
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
