@@ -32,6 +32,15 @@ def lines(spark: SparkSession, sf_dir: str, below: int = 40, value: Column | Non
     return cells(rows, F.floor("l_quantity"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100), LINE_LO, LINE_HI, value)
 
 
+def whole_lines(spark: SparkSession, sf_dir: str, by: str = "l_partkey", third: str = "l_discount", value: Column | None = None) -> Voxels:
+    """All order lines, by a key that grows with the data, quantity and discount or tax; grids of the same table have one extent."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    # the first axis holds both keys, with one cell of padding on each side
+    least, most = rows.agg(F.least(F.min("l_partkey"), F.min("l_suppkey")), F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()
+    lo, hi = (int(least or 0) - 1, LINE_LO[0], LINE_LO[1]), (int(most or 0) + 1, LINE_HI[0], LINE_HI[1])
+    return cells(rows, F.col(by), F.floor("l_quantity"), F.round(F.col(third) * 100), lo, hi, value)
+
+
 def events(spark: SparkSession, sf_dir: str) -> Voxels:
     """Events by user, quarter of the day and value: a large sparse grid that grows with the data."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "value")

@@ -1,0 +1,80 @@
+"""Queries over all order lines against brute force, on parts that the id ranges of the others leave out."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import pytest
+
+from latticeworks import queries as reference
+from latticeworks.grid import N6, N26
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """(folder, rows): parts from 150 on; lines of supplier 3 enclose cells."""
+    r = random.Random(3)
+    rows = [(r.randrange(150, 156), r.randrange(1, 6), float(r.randrange(1, 7)), r.randrange(0, 5) / 100, r.randrange(0, 4) / 100) for _ in range(260)]
+    rows += [(155, s, float(q), d / 100, 0.0) for s, q, d in itertools.product((2, 3, 4), (20, 21, 22), (4, 5, 6)) if (s, q, d) != (3, 21, 5)]
+    rows.append((None, 1, 2.0, 0.01, 0.01))
+    at = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{at}/lineitem.parquet")
+    return at, rows
+
+
+def grids(rows):
+    a, b, c = ({(x[k], int(x[2]), round(x[t] * 100)) for x in rows if x[k] is not None} for k, t in ((0, 3), (0, 4), (1, 3)))
+    keys = [k for x in rows for k in x[:2] if k is not None]
+    box = set(itertools.product(range(min(keys) - 1, max(keys) + 2), range(0, 52), range(-1, 12)))
+    assert a | b | c <= box
+    return a, b, c, box
+
+
+def near(p, steps):
+    return {(p[0] + i, p[1] + j, p[2] + k) for i, j, k in steps}
+
+
+def flood(start, space, steps=N6):
+    seen, todo = set(start), list(start)
+    while todo:
+        for q in near(todo.pop(), steps):
+            if q in space and q not in seen:
+                seen.add(q)
+                todo.append(q)
+    return seen
+
+
+def parts(cells):
+    left, out = set(cells), []
+    while left:
+        out.append(flood({min(left)}, left))
+        left -= out[-1]
+    return out
+
+
+def test_whole_queries_equal_brute_force(spark, lines):
+    at, rows = lines
+    a, b, c, box = grids(rows)
+    outside = flood({min(box)}, box - c)
+    closed = set()
+    for p in parts(c):
+        closed |= box - p - flood({min(box)}, box - p)
+    want = {
+        "union": a | b, "subtract": a - b, "intersect": a & b, "invert": box - a, "offset": ({q for p in a for q in near(p, N26)} & box) - a,
+        "keep_neighbours": {p for p in a if len(near(p, N6) & a) >= 2}, "edge_detect": {p for p in a if 0 < len(near(p, N26) & a) < 26},
+        "exterior": outside, "volume2": box - c - outside, "outmost": parts(a)[0], "keep_components": {q for p in parts(a) if len(p) >= 5 for q in p},
+    }
+    assert closed and want["volume2"]
+    for name, cells in want.items():
+        got = [tuple(x) for x in reference.QUERIES[f"whole_{name}"](spark, at).select("gi", "gj", "gk").collect()]
+        assert len(got) == len(set(got)) and set(got) == cells, name
+    assert reference.QUERIES["whole_count_components"](spark, at).first()[0] == len(parts(a))
+    assert {tuple(x) for x in reference.QUERIES["whole_count_neighbours"](spark, at).collect()} == {(*p, n) for p in a if (n := len(near(p, N26) & a))}
+    values = {tuple(x) for x in reference.QUERIES["whole_copy"](spark, at).collect()}
+    assert values == a
+
+
+def test_queries_without_the_whole_table_are_named():
+    read = {n for n in reference.QUERIES if f"whole_{n}" in reference.QUERIES}
+    assert len(read) > 50 and not any(f"whole_{n}" in reference.SQL for n in read)
