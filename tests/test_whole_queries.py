@@ -75,6 +75,17 @@ def test_whole_queries_equal_brute_force(spark, lines):
     assert values == a
 
 
+def test_volumes_of_every_component(spark, tmp_path):
+    shells = [(q0, block) for q0 in (5, 15) for block in [set(itertools.product((q0, q0 + 1, q0 + 2), (1, 2, 3), (1, 2, 3))) - {(q0 + 1, 2, 2)}]]
+    cells = {x for _, s in shells for x in s}
+    rows = [(7, 1, float(q), d / 100, t / 100) for q, d, t in cells]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    inner = {(6, 2, 2), (16, 2, 2)}
+    for name, want in (("volume", inner), ("fill_volume_all", cells | inner)):
+        got = [tuple(x) for x in reference.QUERIES[name](spark, str(tmp_path)).select("gi", "gj", "gk").collect()]
+        assert sorted(got) == sorted(want), name
+
+
 def test_queries_without_the_whole_table_are_named():
     read = {n for n in reference.QUERIES if f"whole_{n}" in reference.QUERIES}
     assert len(read) > 50 and not any(f"whole_{n}" in reference.SQL for n in read)
