@@ -484,9 +484,8 @@ def dimensionality_estimate(spark, sf):
 
 @query()
 def segment(spark, sf):
-    box = S.Surfaces.of(spark, S.box_triangles(1, (0.25, 0.25, 0.25), (4.75, 4.75, 4.75)))
-    shell = S.voxelize(box, 1.0, 4, padding=2)
-    return shape.segment(shape.normal_estimate(shell, 1), 0.5, 0.06).df
+    # the surface of all order lines: inside a solid no cell is flat
+    return shape.segment(shape.normal_estimate(M.edges(tables.lines(spark, sf, None)), 1), 0.5, 0.06).df
 
 
 SCRIPT = """gaps = fill_gaps(lines)
@@ -512,8 +511,9 @@ def run_operation(spark, sf):
 
 @query(_LABELS + "SELECT count(*) AS cells, count(DISTINCT label) AS parts, max(gi) AS most FROM l")
 def component_foreach(spark, sf):
-    big = R.component_sizes(grid_a(spark, sf))
-    return big.agg(F.sum("count").alias("cells"), F.count("*").alias("parts"), F.max("hi_i").alias("most"))
+    found = []
+    parts = R.component_foreach(grid_a(spark, sf), lambda c: found.append(c.df.agg(F.count("*"), F.max("gi")).first()))
+    return _one(spark, cells=sum(n for n, _ in found), parts=parts, most=max((i for _, i in found), default=None))
 
 
 @query("SELECT count(*) AS lines, (SELECT count(*) FROM c) AS solid FROM a")

@@ -26,9 +26,11 @@ def cells(rows: DataFrame, i: Column, j: Column, k: Column, lo: Triple, hi: Trip
 LINE_LO, LINE_HI = (0, -1, -1), (51, 11, 9)
 
 
-def lines(spark: SparkSession, sf_dir: str, below: int = 40, value: Column | None = None, least: int = 0) -> Voxels:
-    """Order lines of a range of parts, by quantity, discount and tax."""
-    rows = table(spark, sf_dir, "lineitem").where((F.col("l_partkey") < below) & (F.col("l_partkey") >= least)).select("l_partkey", "l_quantity", "l_discount", "l_tax")
+def lines(spark: SparkSession, sf_dir: str, below: int | None = 40, value: Column | None = None, least: int = 0) -> Voxels:
+    """Order lines of a range of parts (all lines if ``below`` is None), by quantity, discount and tax."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax")
+    if below is not None:
+        rows = rows.where((F.col("l_partkey") < below) & (F.col("l_partkey") >= least))
     return cells(rows, F.floor("l_quantity"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100), LINE_LO, LINE_HI, value)
 
 

@@ -86,6 +86,18 @@ def test_volumes_of_every_component(spark, tmp_path):
         assert sorted(got) == sorted(want), name
 
 
+def test_operators_run_on_the_table(spark, tmp_path, monkeypatch):
+    cells = set(itertools.product(range(20, 25), range(1, 6), range(1, 6)))
+    rows = [(7, 1, float(q), d / 100, t / 100) for q, d, t in [*cells, (40, 9, 7)]]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(x) for x in reference.QUERIES["segment"](spark, str(tmp_path)).select("gi", "gj", "gk").collect()}
+    assert got and got < cells
+    calls, run = [], reference.R.component_foreach
+    monkeypatch.setattr(reference.R, "component_foreach", lambda a, fn: calls.append(a) or run(a, fn))
+    assert reference.QUERIES["component_foreach"](spark, str(tmp_path)).first().asDict() == {"cells": 126, "parts": 2, "most": 40}
+    assert len(calls) == 1
+
+
 def test_queries_without_the_whole_table_are_named():
     read = {n for n in reference.QUERIES if f"whole_{n}" in reference.QUERIES}
     assert len(read) > 50 and not any(f"whole_{n}" in reference.SQL for n in read)
