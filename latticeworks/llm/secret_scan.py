@@ -1,7 +1,8 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
-Each rule's regular expression has a Boolean trigram query: a disjunction of
-sets of trigrams, one set of which occurs (ASCII letters folded) in every text
+Each rule has a Boolean trigram query beside its regular expression, cut from
+literals given by hand (nothing is derived from the expression): a disjunction
+of sets of trigrams, one set of which occurs (ASCII letters folded) in every text
 that the expression matches. The index lists, for each trigram of the rules,
 the documents that hold it; a set's documents are the intersection of its
 postings, a rule's the union over its sets. Only those candidates are verified
