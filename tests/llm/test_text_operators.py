@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticeworks.llm import bpe, decontaminate, jaccard, quality, secret_scan, suffix, token_counts
+from latticeworks.llm import bpe, components, decontaminate, jaccard, quality, secret_scan, suffix, token_counts
 from latticeworks.llm.common import tokenizer_path
 
 
@@ -95,12 +95,12 @@ def test_budgets_are_answered_from_the_table(spark):
 
 
 def similar(texts):
-    """n_shingles and component of each row, by comparing all sets that share a shingle."""
+    """n_shingles and component of each row, by comparing all pairs of sets."""
     sets = []
     for i, t in texts:
         w = (t or "").encode().translate(jaccard._LOWER).split()
         sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
-    kinds = sorted({s for i, s in sets if s and i is not None}, key=repr)
+    kinds = sorted({s for _, s in sets if s}, key=repr)
     part = list(range(len(kinds)))
 
     def find(x):
@@ -114,32 +114,72 @@ def similar(texts):
             if 100 * both >= 80 * (len(kinds[a]) + len(kinds[b]) - both):
                 part[find(a)] = find(b)
     at = {s: k for k, s in enumerate(kinds)}
-    least = defaultdict(lambda: 1 << 62)
+    ids = defaultdict(set)
     for i, s in sets:
         if s and i is not None:
-            least[find(at[s])] = min(least[find(at[s])], i)
-    return [(i, len(s), least[find(at[s])] if s and i is not None else i) for i, s in sets]
+            ids[find(at[s])].add(i)
+    return [(i, len(s), min(ids[find(at[s])], default=None) if s else i) for i, s in sets]
 
 
-@pytest.mark.parametrize("hot", [jaccard.HOT, 1])
-def test_components_equal_brute_force(docs, texts, hot):
-    got = jaccard.join(docs, hot=hot).select("doc_id", "n_shingles", "component_id").collect()
+#: As in production; every key combined in its slice; no star, so that all that is shared is torn and compared whole.
+WAYS = [{}, {"local": 2}, {"rounds": 0}, {"rounds": 0, "local": 2, "block": 2500}]
+
+
+@pytest.mark.parametrize("way", WAYS[1::2])
+def test_components_equal_brute_force(docs, texts, way):
+    got = jaccard.join(docs, **way).select("doc_id", "n_shingles", "component_id").collect()
     assert ordered(got) == ordered(similar(texts))
 
 
+def chains(r):
+    """Texts of shared boilerplate, short ones, chains of small changes and texts at the very limit, some without id."""
+    rows, n = [], 0
+    plate = [f"p{k}" for k in range(60)]
+    for k in range(30):
+        own = [f"o{k}_{j}" for j in range(r.choice([1, 2, 5, 10, 20, 40]))]
+        rows.append((n + k, " ".join(plate + own if k % 2 else own + plate)))
+    n += 30
+    x = [f"c{j}" for j in range(50)]
+    for k in range(25):
+        x = list(x)
+        x[r.randrange(50)] = f"d{k}"
+        rows.append((n + k if k % 5 else None, " ".join(x)))
+    n += 25
+    for k in range(60):
+        rows.append((n + k, " ".join(r.choice("abcd") for _ in range(r.randint(1, 12)))))
+    n += 60
+    for size in (20, 45, 90):  # 9 shared of 10 and the like: the share is 0.8 exactly, or just below
+        words_ = [f"s{size}_{j}" for j in range(size + 4)]
+        for cut in range(0, size // 4 + 3):
+            rows.append((n, " ".join(words_[: len(words_) - cut])))
+            n += 1
+    return rows
+
+
+@pytest.mark.parametrize("way", WAYS[::2])
+def test_chains_and_boilerplate(spark, way):
+    rows = chains(random.Random(21))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids, pairs = linked_classes(rows)
+    got = jaccard.join(d, **way).collect()
+    assert ordered((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == ordered(similar(rows))
+    want = {i: sum(s in p for p in pairs) for s, v in ids.items() for i in v if i is not None}
+    assert len(pairs) > 60 and {x["doc_id"]: x["n_links"] for x in got if x["doc_id"] is not None} == want
+
+
 def linked_classes(texts):
     """Distinct sets with an id, each with the ids of its rows, and all pairs of them that link."""
     ids = defaultdict(list)
     for i, t in texts:
         w = (t or "").encode().translate(jaccard._LOWER).split()
-        if w and i is not None:
+        if w:
             ids[frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))].append(i)
     kinds = list(ids)
     pairs = [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if 100 * len(a & b) >= 80 * len(a | b)]
     return ids, pairs
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 2500])
+@pytest.mark.parametrize("block", [2500])
 def test_no_link_is_lost(spark, texts, block):
     r = random.Random(12)
     base = [f"w{r.randrange(1000)}" for _ in range(160)]
@@ -153,13 +193,12 @@ def test_no_link_is_lost(spark, texts, block):
     ids, pairs = linked_classes(rows)
     assert len(pairs) > 300
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    least = {s: min((i for i in v if i is not None), default=None) for s, v in ids.items()}
     got = jaccard.links(d, block=block).collect()
-    assert sorted(sorted(x) for x in got) == sorted(sorted((min(ids[a]), min(ids[b]))) for a, b in pairs)
-    want = {i: (min(v), sum(s in p for p in pairs)) for s, v in ids.items() for i in v}
-    found = jaccard.join(d, block=block).collect()
-    assert len(found) == len(rows)
-    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in found if x["doc_id"] in want} == want
-    assert all(x["n_links"] == 0 for x in found if x["doc_id"] not in want)
+    assert sorted((sorted(x, key=repr) for x in got), key=repr) == sorted((sorted((least[a], least[b]), key=repr) for a, b in pairs), key=repr)
+    want = ordered((i, least[s], sum(s in p for p in pairs)) for s, v in ids.items() for i in v)
+    found = jaccard.join(d, block=block).where("n_shingles > 0").select("doc_id", "class_id", "n_links").collect()
+    assert ordered(found) == want
 
 
 def test_shared_counts_what_two_sets_have_in_common():
@@ -173,8 +212,8 @@ def test_shared_counts_what_two_sets_have_in_common():
 def test_one_of_each_group_stays(docs, texts):
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
-    want = [i for i, n, c in similar(texts) if n == 0 or i is None]
-    want += sorted({c for i, n, c in similar(texts) if n and i is not None})
+    want = [i for i, n, c in similar(texts) if n == 0]
+    want += sorted({c for i, n, c in similar(texts) if n})
     assert sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=repr) == sorted(want, key=repr)
 
 
@@ -188,7 +227,7 @@ def test_sketches_bound_the_difference():
         both, a, b = (np.unique(r.integers(0, 1 << 63, r.integers(0, n), dtype=np.int64)).astype(np.uint64) for n in (900, 200, 700))
         x, y = np.union1d(both, a), np.union1d(both, b)
         if len(x) and len(y):
-            assert jaccard.hamming(jaccard.sketch(x), jaccard.sketch(y)) <= len(np.setxor1d(x, y))
+            assert jaccard.distances([jaccard.sketch(x)], [jaccard.sketch(y)])[0] <= len(np.setxor1d(x, y))
 
 
 def test_bands_hold_every_pair_that_can_link():
@@ -198,6 +237,25 @@ def test_bands_hold_every_pair_that_can_link():
             assert any(x[0] == y[0] and x[1] >= d for x in jaccard.bands(a) for y in jaccard.bands(b))
 
 
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_of_links(spark, few):
+    r = random.Random(13)
+    pairs = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    got = components.components(spark.createDataFrame(pairs, "a long, b long"), few).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in up)
+
+
 # Quality
 
 
