@@ -1,27 +1,32 @@
-"""BPE encoding and decoding, with tree concatenation for long unsplit text.
-
-Words between ASCII white space are independent in this vocabulary, and in text
-of the first Latin blocks the pieces that the vocabulary's rule splits words
-into are known by plain classes of characters. So a worker encodes each
-distinct piece once and joins what it has. A word of more
-than ``LONG`` bytes is unsplit text: its documents go another way, where the
-word is normalised and pre-split, pieces longer than ``LEAF`` symbols are
-halved down to leaves, the leaves are encoded in parallel tasks, and the halves
-are joined up the tree. A join re-encodes a window around the seam and doubles
-it until its first token equals the left side's token there and its last the
-right side's. Two neighbouring tokens of a byte-pair encoding are right if and
-only if they are the encoding of their own concatenation, so then every
-neighbouring pair of the result is right, and with that the whole.
+"""BPE encoding and decoding by tree concatenation of unsplit text.
+
+Words between ASCII white space are independent in this vocabulary, and the
+vocabulary's rule splits a word into pieces; a piece is unsplit text, to which
+the merges apply. A piece of more than ``LEAF`` symbols is halved down to
+leaves, the leaves are encoded, and the halves are joined up the tree. A join
+re-encodes a window around the seam and doubles it until its first token equals
+the left side's token there and its last the right side's. Two neighbouring
+tokens of a byte-pair encoding are right if and only if they are the encoding
+of their own concatenation, so then every neighbouring pair of the result is
+right, and with that the whole.
 
 Only the last leaf of a piece may use the end-of-word symbol; the others, and
 windows that do not reach the end, use the same merges without it.
 
+Where the leaves are encoded depends on their number alone: a worker encodes
+those of an ordinary text itself, each distinct piece once; a text that holds a
+word of more than ``LONG`` bytes has its leaves (then of ``FAR_LEAF`` symbols)
+dealt over parallel tasks, and one task joins what comes back.
+
+In text of the first Latin blocks the pieces are found by plain classes of
+characters; elsewhere by the vocabulary's own normaliser and splitter.
+
 Decoding joins the tokens' strings by a space, as the library does for a
 vocabulary without a decoder.
 
 Defined cases: null and empty texts have no tokens and decode to the empty
 string; repeated rows give equal results each; extra columns are ignored here
-and kept by :func:`with_tokens`.
+and kept by :func:`with_tokens` and :func:`with_ids`.
 """
 
 from __future__ import annotations
@@ -31,21 +36,26 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ROW, packed, partitions, tokenizer_path
 from .token_counts import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of a word, or symbols of a piece, beyond which the tree is used.
-LONG, LEAF = 32_768, 8_192
-#: Words that a worker remembers, twice over.
-REMEMBER = 200_000
+#: Symbols of a leaf; bytes of a word whose leaves are dealt over tasks, and symbols of such a leaf.
+LEAF = 16
+LONG, FAR_LEAF = 32_768, 8_192
+#: Bytes of words and tokens that a worker remembers, twice over, what each word takes beside its own, and the longest word remembered.
+REMEMBER, EACH, MOST = 16 << 20, 300, 1024
+#: Rows and bytes of text of a batch that a worker lets out.
+ROWS, BYTES = 256, 1 << 20
 #: Text whose case, composition or letters are left to the library: beyond the first
 #: Latin blocks, the one letter there that folds to two characters, special strings.
 FAR = re.compile("[^\\x00-\\u017f]|\\u0130|<\\|")
@@ -62,7 +72,7 @@ PACK = 65_536
 class Codec:
     """The vocabulary file, and the words encoded so far."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, leaf: int = LEAF):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,26 +87,28 @@ class Codec:
         spec["model"]["end_of_word_suffix"] = None
         self.inner = Tokenizer.from_str(json.dumps(spec))
         self.symbol = {b: c for c, b in byte_symbols().items()}
+        self.leaf = leaf
         self.known: dict[bytes | str, tuple[bytes, bytes]] = {}
         self.older: dict[bytes | str, tuple[bytes, bytes]] = {}
+        self.size = 0
 
-    def learn(self, words: set) -> None:
-        """Encode words (bytes) by the library, and pieces of folded Latin text (str) by its merges."""
-        if len(self.known) + len(words) > REMEMBER:  # what was met again since stays
-            self.older, self.known = self.known, {}
-        new = []
+    def learn(self, words: set) -> dict:
+        """Encode words (bytes) and pieces of folded Latin text (str)."""
+        out = {}
         for w in words:
             got = self.older.get(w)
-            if got is not None:
+            if got is None:
+                ids: list[int] = []
+                for p in self.pieces(w.decode()) if isinstance(w, bytes) else (w.encode().decode("latin-1").translate(self.symbol),):
+                    ids += (p,) if isinstance(p, int) else [t for t, _ in self.tree(p)]
+                got = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+            out[w] = got
+            if len(w) <= MOST:
                 self.known[w] = got
-            elif isinstance(w, str):
-                t = self.tok.model.tokenize(w.encode().decode("latin-1").translate(self.symbol))
-                self.known[w] = (np.array([x.id for x in t], "<u4").tobytes(), " ".join([x.value for x in t]).encode())
-            else:
-                new.append(w)
-        if new:
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = (np.array(e.ids, "<u4").tobytes(), " ".join(e.tokens).encode())
+                self.size += len(w) + len(got[0]) + len(got[1]) + EACH
+        if self.size > REMEMBER:  # what is met again stays
+            self.older, self.known, self.size = self.known, {}, 0
+        return out
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """ids (little-endian) and decoded text of each."""
@@ -105,9 +117,8 @@ class Codec:
             parts = t.encode().split() if FAR.search(t) else PIECES.findall(t.lower())
             found = list(map(self.known.get, parts))
             if None in found:
-                self.learn({w for w, g in zip(parts, found, strict=True) if g is None})
-                known = self.known
-                found = [g if g is not None else known[w] for w, g in zip(parts, found, strict=True)]
+                new = self.learn({w for w, g in zip(parts, found, strict=True) if g is None})
+                found = [g if g is not None else new[w] for w, g in zip(parts, found, strict=True)]
             yield b"".join([g[0] for g in found]), b" ".join([g[1] for g in found if g[1]])
 
     def symbols(self, piece: str, is_end: bool) -> list[tuple[int, int]]:
@@ -131,19 +142,29 @@ class Codec:
                 yield self.special[name]
             at = i + len(name)
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def tree(self, piece: str) -> list[tuple[int, int]]:
+        """Tokens of a piece: its leaves, joined."""
+        if len(piece) <= self.leaf:
+            return self.symbols(piece, True)
+        at, leaves = 0, []
+        for end in halves(len(piece), self.leaf):
+            leaves.append(self.symbols(piece[at:end], end == len(piece)))
+            at = end
+        return concatenate(piece, leaves, self.symbols)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         """All tokens of ``ids``, special ones too, joined by a space."""
         name = self.tok.id_to_token
-        return " ".join(name(int(i)) for i in ids).encode()
+        return " ".join([name(int(i)) for i in ids]).encode()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(name: str) -> Codec:
-    if name not in _codecs:
-        _codecs[name] = Codec(name)
-    return _codecs[name]
+def codec(name: str, leaf: int = LEAF) -> Codec:
+    if (name, leaf) not in _codecs:
+        _codecs[name, leaf] = Codec(name, leaf)
+    return _codecs[name, leaf]
 
 
 Tokens = list[tuple[int, int]]
@@ -191,24 +212,37 @@ def is_long(text: Column, long: int = LONG) -> Column:
     return F.when(F.octet_length(text) > long, F.exists(words, lambda w: F.octet_length(w) > long)).otherwise(F.lit(False))
 
 
-def encode_short(text: Column, name: str) -> Column:
-    @F.pandas_udf(OUT + ", ids binary, decoded string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ids, decoded in codec(name).texts(list(texts)):
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded.decode()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+#: What is added to a row, by name.
+ADDED = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "binary", "decoded": "string"}
 
-    return run(text)
 
+def encoded_short(rows: DataFrame, name: str, leaf: int, wanted: tuple[str, ...]) -> DataFrame:
+    """``rows`` (their text in ``_t``) without the text, with the columns of ``ADDED`` that are wanted, in small batches."""
+    kept = [c for c in rows.columns if c != "_t"]
 
-def digest_short(text: Column, name: str) -> Column:
-    @F.pandas_udf(OUT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in codec(name).texts(list(texts))]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(name, leaf)
+        make = {
+            "n_tokens": lambda i, d: len(i) // 4, "ids_sha256": lambda i, d: hashlib.sha256(i).hexdigest(), "decoded_sha256": lambda i, d: hashlib.sha256(d).hexdigest(),
+            "ids": lambda i, d: i, "decoded": lambda i, d: d.decode(),
+        }
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        for batch in batches:
+            at = lo = size = 0
+            out: list[list] = [[] for _ in wanted]
+            texts = batch.column(len(kept))
+            for at in range(batch.num_rows):
+                text = texts[at].as_py()
+                for ids, decoded in c.texts([text]):
+                    for o, w in zip(out, wanted, strict=True):
+                        o.append(make[w](ids, decoded))
+                size += len(text or "")
+                if at + 1 - lo >= ROWS or size >= BYTES or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, at + 1 - lo) for i in range(len(kept))] + [pa.array(o, types[ADDED[w]]) for o, w in zip(out, wanted, strict=True)], names=[*kept, *wanted])
+                    lo, size, out = at + 1, 0, [[] for _ in wanted]
 
-    return run(text)
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(w, T._parse_datatype_string(ADDED[w])) for w in wanted])
+    return rows.select(*kept, "_t").mapInArrow(run, schema)
 
 
 def encode_long(texts: DataFrame, name: str, long: int, leaf: int) -> DataFrame:
@@ -279,7 +313,7 @@ def encode_long(texts: DataFrame, name: str, long: int, leaf: int) -> DataFrame:
                 ids.append(np.array([t for t, _ in whole], "<u4").tobytes())
                 piece, parts = [], []
         all_ids = b"".join(ids)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [all_ids], "decoded": [c.decode(np.frombuffer(all_ids, "<u4")).decode()]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [all_ids], "decoded": [c.decode(np.frombuffer(all_ids, "<u4").tolist()).decode()]})
 
     cut_up = texts.mapInPandas(leaves, "key binary, at int, kind int, body string")
     done = cut_up.repartition(partitions(spark), "key", "at").mapInPandas(encode, "key binary, at int, kind int, body string, tokens binary")
@@ -293,43 +327,43 @@ def _long_rows(docs: DataFrame, text_col: str, name: str, long: int, leaf: int)
     return rows, encode_long(texts, name, long, leaf)
 
 
-def encode(docs: DataFrame, name: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, leaf: int = LEAF) -> DataFrame:
+def _added(rows: DataFrame, name: str, long: int, leaf: int, far_leaf: int, wanted: tuple[str, ...]) -> DataFrame:
+    """``rows`` (their text in ``_t``) without the text, with the columns of ``ADDED`` that are wanted."""
+    kept = [c for c in rows.columns if c != "_t"]
+    rows = rows.withColumn("_t", F.coalesce("_t", F.lit("")))
+    short = encoded_short(rows.where(~is_long(F.col("_t"), long)), name, leaf, wanted)
+    far, texts = _long_rows(rows, "_t", name, long, far_leaf)
+    made = {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256), "ids": F.col("ids"), "decoded": F.col("decoded")}
+    texts = texts.select(F.col("key").alias("_key"), *(made[w].alias(f"_{w}") for w in wanted))
+    return short.unionByName(far.join(texts, "_key").select(*kept, *(F.col(f"_{w}").alias(w) for w in wanted)))
+
+
+def encode(docs: DataFrame, name: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, leaf: int = LEAF, far_leaf: int = FAR_LEAF) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    short = d.where(~is_long(F.col("_t"), long)).withColumn("_r", digest_short(F.col("_t"), name)).select("_id", "_r.*")
-    rows, texts = _long_rows(d, "_t", name, long, leaf)
-    little = F.octet_length("ids") / 4
-    texts = texts.select(F.col("key").alias("_key"), little.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    far = rows.select("_id", "_key").join(texts, "_key").select("_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    return short.unionByName(far).withColumnRenamed("_id", id_col)
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    return _added(d, name, long, leaf, far_leaf, ("n_tokens", "ids_sha256", "decoded_sha256")).withColumnRenamed("_id", id_col)
 
 
-def with_tokens(docs: DataFrame, name: str = VOCABULARY, text_col: str = "text", long: int = LONG, leaf: int = LEAF) -> DataFrame:
+def _with(docs: DataFrame, name: str, text_col: str, long: int, leaf: int, far_leaf: int, wanted: tuple[str, ...]) -> DataFrame:
+    done = _added(packed(docs, _t=text_col), name, long, leaf, far_leaf, wanted)
+    return done.select(*(F.col(f"{ROW}.`{c}`") for c in docs.columns if c != "_tokens"), F.struct(*wanted).alias("_tokens"))
+
+
+def with_tokens(docs: DataFrame, name: str = VOCABULARY, text_col: str = "text", long: int = LONG, leaf: int = LEAF, far_leaf: int = FAR_LEAF) -> DataFrame:
     """``docs`` with a struct column ``_tokens`` (in place of one of that name): n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
-    d = packed(docs, _t=text_col).withColumn("_t", F.coalesce("_t", F.lit("")))
-    short = d.where(~is_long(F.col("_t"), long)).withColumn("_r", encode_short(F.col("_t"), name))
-    short = short.select(ROW, F.struct("_r.n_tokens", "_r.ids", "_r.decoded").alias("_tokens"))
-    rows, texts = _long_rows(d, "_t", name, long, leaf)
-    texts = texts.select(F.col("key").alias("_key"), F.struct((F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded").alias("_tokens"))
-    every = short.unionByName(rows.join(texts, "_key").select(ROW, "_tokens"))
-    return every.select(*(F.col(f"{ROW}.`{c}`") for c in docs.columns if c != "_tokens"), "_tokens")
+    return _with(docs, name, text_col, long, leaf, far_leaf, ("n_tokens", "ids", "decoded"))
+
 
+def with_ids(docs: DataFrame, name: str = VOCABULARY, text_col: str = "text", long: int = LONG, leaf: int = LEAF, far_leaf: int = FAR_LEAF) -> DataFrame:
+    """As :func:`with_tokens`, with the digest of the decoded text in its place, which then never leaves a worker."""
+    return _with(docs, name, text_col, long, leaf, far_leaf, ("n_tokens", "ids", "decoded_sha256"))
 
-def encode_text(text: str | None, name: str = VOCABULARY, long: int = LONG, leaf: int = LEAF) -> list[int]:
+
+def encode_text(text: str | None, name: str = VOCABULARY, leaf: int = LEAF) -> list[int]:
     """One text on one machine, by the same steps."""
-    c = codec(name)
+    c = codec(name, leaf)
     out: list[int] = []
     for w in (text or "").encode().split():
-        if len(w) <= long:
-            out += np.frombuffer(next(c.texts([w.decode()]))[0], "<u4").tolist()
-            continue
         for p in c.pieces(w.decode()):
-            if isinstance(p, int):
-                out.append(p)
-                continue
-            at, parts = 0, []
-            for end in halves(len(p), leaf):
-                parts.append(c.symbols(p[at:end], end == len(p)))
-                at = end
-            out += [t for t, _ in concatenate(p, parts, c.symbols)]
+            out += (p,) if isinstance(p, int) else [t for t, _ in c.tree(p)]
     return out
