@@ -8,11 +8,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticeworks.llm import bpe, components, decontaminate, jaccard, quality, secret_scan, suffix, token_counts
+from latticeworks.llm import bpe, components, decontaminate, jaccard, quality, secret_scan, suffix, token_counts, trigram_query
 from latticeworks.llm.common import tokenizer_path
 
 
@@ -36,10 +37,10 @@ def encoded(tok, t):
     return len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tok.decode(ids, skip_special_tokens=False).encode())
 
 
-@pytest.mark.parametrize(("long", "leaf"), [(32_768, 8_192), (300, 40)])
-def test_bpe_equals_the_library(docs, texts, long, leaf):
+@pytest.mark.parametrize(("long", "leaf", "far_leaf"), [(bpe.LONG, bpe.LEAF, bpe.FAR_LEAF), (300, 2, 40)])
+def test_bpe_equals_the_library(docs, texts, long, leaf, far_leaf):
     tok = library(bpe.VOCABULARY)
-    got = bpe.encode(docs, long=long, leaf=leaf).collect()
+    got = bpe.encode(docs, long=long, leaf=leaf, far_leaf=far_leaf).collect()
     assert ordered(got) == ordered((i, *encoded(tok, t)) for i, t in texts)
 
 
@@ -48,7 +49,26 @@ def test_bpe_tree_on_unsplit_text():
     for alphabet in ("ab", "theing", "é!a1'", "日本"):
         for _ in range(40):
             t = "".join(r.choice(alphabet) for _ in range(r.randint(1, 300)))
-            assert bpe.encode_text(t, long=8, leaf=4) == tok.encode(t, add_special_tokens=False).ids
+            assert bpe.encode_text(t, leaf=4) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_tree_on_table_texts():
+    tok, rows = library(bpe.VOCABULARY), pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    c, trees = bpe.Codec(bpe.VOCABULARY), []
+    symbols, c.tree = c.tree, lambda p: trees.append(len(p)) or symbols(p)
+    for t, (ids, decoded) in zip(rows, c.texts(rows), strict=True):
+        want = tok.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == tok.decode(want, skip_special_tokens=False)
+    assert sum(n > bpe.LEAF for n in trees) > 10  # pieces that were halved
+
+
+def test_a_worker_forgets(monkeypatch):
+    tok, c, r = library(bpe.VOCABULARY), bpe.Codec(bpe.VOCABULARY), random.Random(14)
+    monkeypatch.setattr(bpe, "REMEMBER", 2000)
+    for _ in range(60):
+        t = " ".join("".join(r.choice("abcé日") for _ in range(r.randint(1, 9))) for _ in range(12))
+        assert np.frombuffer(next(c.texts([t]))[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(c.known) + len(c.older) < 40
 
 
 def test_bpe_keeps_columns_and_round_trips(docs, nothing):
@@ -57,6 +77,10 @@ def test_bpe_keeps_columns_and_round_trips(docs, nothing):
     assert bpe.encode(nothing).count() == 0 and bpe.with_tokens(nothing).count() == 0
     r = t.where("doc_id = 203").first()
     assert r["_tokens"]["decoded"] == "one</w>"
+    i = bpe.with_ids(docs)
+    assert i.columns == [*docs.columns, "_tokens"]
+    same = t.select(F.col("_tokens.ids").alias("x"), F.sha2("_tokens.decoded", 256).alias("y")).collect()
+    assert ordered(same) == ordered(i.select("_tokens.ids", "_tokens.decoded_sha256").collect())
 
 
 # Token counts
@@ -361,9 +385,9 @@ def secret_texts():
 def test_secrets_equal_brute_force(spark):
     rows = list(enumerate(secret_texts()))
     got = secret_scan.scan(spark.createDataFrame([*rows, rows[0], (None, "token=abcdefgh")], "doc_id long, text string"))
-    want = [(i, *secrets_of(t)) for i, t in [*rows, rows[0], (None, None)]]
+    want = [(i, *secrets_of(t)) for i, t in [*rows, rows[0], (None, "token=abcdefgh")]]
     at = ["doc_id", "n_assign", "n_access", "n_hex", "spans", "base_sha256"]
-    assert ordered(got.where("doc_id IS NOT NULL").select(at).collect()) == ordered(x for x in want if x[0] is not None)
+    assert ordered(got.select(at).collect()) == ordered(want)
 
 
 def test_secrets_of_rows_without_id(spark):
@@ -378,13 +402,59 @@ def test_secrets_of_rows_without_id(spark):
 def test_candidates_hold_every_match(spark):
     rows = list(enumerate(secret_texts()))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    postings = secret_scan.index(d)
-    found = {r["id"]: set(r["kinds"]) for r in secret_scan.intersected(postings).collect()}
-    assert found == {r["id"]: set(r["kinds"]) for r in secret_scan.candidates(postings).collect()}
+    kinds = {r["doc_id"]: set(r["_kinds"] or ()) for r in secret_scan.flagged(d, secret_scan.RULES, "text").select("doc_id", "_kinds").collect()}
     for i, t in rows:
         n = secrets_of(t)
-        assert not n[0] or "assign" in found.get(i, ())
-        assert not n[1] or "access" in found.get(i, ())
+        assert not n[0] or "assign" in kinds[i]
+        assert not n[1] or "access" in kinds[i]
+
+
+def test_spans_over_many_blocks(spark):
+    t = "".join(f"token=abcdefgh{k} " for k in range(500)) + "token=ab " * 200 + "secret:abcdefgh9"
+    got = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).select("n_assign", "n_access", "n_hex", "spans", "base_sha256").first()
+    assert tuple(got) == tuple(secrets_of(t)) and got["n_assign"] == 501
+
+
+#: Expressions with the trigram sets that they force, as a set of words each of whose trigrams is meant; none: scan fully.
+DERIVED = [
+    (secret_scan.RULES[0].regex, {("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)}),
+    (secret_scan.RULES[1].regex, {("akia",)}),
+    (secret_scan.RULES[2].regex, None),
+    ("abc", {("abc",)}),
+    ("ab", None),
+    ("abc|d", None),
+    ("a.c", None),
+    (r"\d{3}-\d{4}", None),
+    ("(abc|abd)ef", {("abcef",), ("abdef",)}),
+    ("ab(cd)?ef", {("abcdef",), ("abef",)}),
+    ("(ABC)+", {("abc",)}),
+    ("(abc)*def", {("def",)}),
+    ("x(abc){2,}y", {("xab", "abcabc", "bcy")}),
+    ("(?:abc|[a-z]+)def", {("def",)}),
+    ("[ab]cd", {("acd",), ("bcd",)}),
+    ("a(?=bcd)b", None),
+    ("^sk_(live|test)_[0-9a-zA-Z]{24}$", {("sk_live_",), ("sk_test_",)}),
+    ("[^a]bcd", {("bcd",)}),
+]
+
+
+@pytest.mark.parametrize(("regex", "words"), DERIVED)
+def test_queries_are_derived(regex, words):
+    want = {frozenset(w[i : i + 3] for w in ws for i in range(len(w) - 2)) for ws in words or ()}
+    assert set(trigram_query.derive(regex)) == want
+
+
+def test_derived_queries_hold_for_random_matches():
+    r = random.Random(15)
+    parts = ["a", "b", "ab", "abc", "cab", "(ab|bc)", "(a|bca)", "[ab]", "[a-c]", ".", "c?", "(abc)?", "(ab)+", "(ca){2,3}", "b*", "(?i:AB)", "(b|(ca|ab)c)+"]
+    for _ in range(300):
+        rx = "".join(r.choice(parts) for _ in range(r.randint(1, 6)))
+        sets = trigram_query.derive(rx)
+        for _ in range(40):
+            m = re.search(rx, "".join(r.choice("abcAB") for _ in range(r.randint(1, 16))))
+            if m and sets:
+                t = m[0].lower()
+                assert any(all(g in t for g in s) for s in sets), (rx, m[0], sets)
 
 
 def test_redaction(spark, docs, nothing):
