@@ -1,17 +1,22 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id into shards whose id ranges follow from a
-histogram of payload bytes, so equal input gives equal files. Within a shard
+Pages are range-sorted by id into shards of about equal payload bytes, one task
+each; the ids between them are quantiles of all ids or, beyond ``SAMPLE``, of
+those with certain hashes, so equal input gives equal files. Within a shard
 records are written in order as gzip members, and a file is rolled when its
 compressed size reaches the target. Headers are made anew from the payload:
 record id, length, block and payload digests. Of records with equal payloads
 of at least ``revisit_from`` bytes, the one with the largest page id is the
-response and the others revisit it, without a payload.
+response and the others revisit it, without a payload (which then isn't sent
+to the shard's task either).
 
 A task writes under a temporary name that holds its attempt, renames the file
 when it is complete, and returns a manifest row. The manifest is written last
 and names the files that count, so what a lost or repeated task leaves behind
-is never read. Files go to the session's shared folder through Arrow's file
+is never read. Manifests are numbered, and a number is committed by a rename
+that fails where it exists; a further write to a path commits the next one,
+which names the files of all writes, each write's pages being deduplicated
+among themselves. Files go to the session's shared folder through Arrow's file
 systems.
 
 Defined cases: null and empty html is an empty payload; a null url is written
@@ -32,20 +37,23 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, join_small
 
 #: Compressed size at which a file is rolled, and payload bytes of a shard.
 ROLL, SHARD = 64 << 20, 32 << 20
-#: Ranges of the histogram that shards are made of: at least, and at most (for very many shards).
-RANGES, MOST_RANGES = 4096, 1 << 20
+#: Ids that quantiles are taken of, at most, and for each shard where there are many.
+SAMPLE, PER_SHARD = 100_000, 32
+#: Times that a manifest's commit is tried when other writers are first.
+TRIES = 100
 #: Repeated digests that may be broadcast (64 bytes each); beyond, the join shuffles.
 BROADCAST_DIGESTS = 100_000
 #: A fixed date keeps the files equal from run to run.
 DATE = "2024-01-01T00:00:00Z"
-MANIFEST = "shard long, part int, file string, records long, bytes long, sha256 string"
+WRITTEN = "shard long, part int, file string, records long, bytes long, sha256 string"
+MANIFEST = f"{WRITTEN}, write int"
 
 
 def digest(data: bytes) -> str:
@@ -130,36 +138,77 @@ def with_roles(pages: DataFrame, revisit_from: int, id_col: str, url_col: str, h
     return join_small(p.withColumn("_same", same), cut(top, "repeated"), "_same", "left", BROADCAST_DIGESTS).drop("_same")
 
 
-def shard_bounds(rows: DataFrame, target: int) -> list[int]:
-    """Least page id of every shard but the first, from a histogram of bytes by id."""
-    s = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("length")).first()
-    if s[0] is None or (s[2] or 0) <= target:
+def shard_bounds(rows: DataFrame, target: int, most: int = SAMPLE) -> list[int]:
+    """Least page id of every shard but the first: about ``target`` bytes of ``rows`` (page_id, length) lie between two."""
+    n, size = rows.agg(F.count("page_id"), F.sum("length")).first()
+    if not n or (size or 0) <= target:
         return []
-    n = min(MOST_RANGES, max(RANGES, 4 * s[2] // target))
-    lo, width = s[0], max(1, -(-(s[1] - s[0] + 1) // n))
-    ranges = rows.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id") - lo) / width).alias("r")).agg(F.sum("length").alias("n")).orderBy("r").collect()  # MOST_RANGES rows at most
+    every = max(1, -(-n // max(most, PER_SHARD * (size // target + 1))))
+    some = rows.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
+    ids = some.groupBy("page_id").agg(F.sum("length").alias("n")).orderBy("page_id").collect()  # about n / every
     out, size = [], 0
-    for r in ranges:
+    for r in ids:
         if size >= target:
-            out.append(lo + r["r"] * width)
+            out.append(r["page_id"])
             size = 0
-        size += r["n"]
+        size += r["n"] * every
     return out
 
 
+def commit(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
+    """The next manifest: the files of the last one and those written."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    files = hadoop(path).getFileSystem(conf)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(hadoop(path)).toUri(), conf)
+    none = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    files.mkdirs(hadoop(path))
+    for _ in range(TRIES):
+        last = versions(spark, path)[-1:]
+        number = (last[0] if last else 0) + 1
+        every = written.withColumn("write", F.lit(number))
+        if last:
+            every = manifest(spark, path, last[0]).drop("path").unionByName(every)
+        temporary, final = f"{path}/_manifest.tmp-{uuid.uuid4().hex}", f"{path}/manifest-{number:010d}"
+        every.coalesce(1).write.parquet(temporary)
+        try:
+            context.rename(files.makeQualified(hadoop(temporary)), files.makeQualified(hadoop(final)), none)
+        except Exception:
+            files.delete(hadoop(temporary), True)
+            if files.exists(hadoop(final)):  # another writer was first
+                continue
+            raise
+        return manifest(spark, path, number)
+    raise OSError(f"{TRIES} manifests of {path} were committed by others first")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the manifests committed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n[9:]) for n in names if n.startswith("manifest-"))
+
+
+def manifest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest-{number:010d}").withColumn("path", F.lit(path))
+
+
 def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll: int = ROLL, shard: int = SHARD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all pages; the committed manifest, one row for each file."""
+    """Write all pages; the committed manifest, one row for each file of the path."""
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     rows = with_roles(pages, revisit_from, id_col, url_col, html_col)
-    bounds = shard_bounds(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long").alias("length")), shard)
+    sizes = cut(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long").alias("length")), "sizes")
+    bounds = shard_bounds(sizes, shard)
     n = len(bounds) + 1
+    which = F.lit(0)
     if bounds:
-        at = F.array(*map(F.lit, bounds))
-        which = F.size(F.filter(at, lambda b: b <= F.col("page_id"))) if n <= 64 else _bisect(bounds)
-        rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(which).cast("long"))
-    else:
-        rows = rows.withColumn("shard", F.lit(0).cast("long"))
+        which = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("page_id"))) if n <= 64 else _bisect(bounds)
+    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(which).cast("long"))
+    # a revisit's payload isn't written
+    rows = rows.withColumn("payload", F.when(F.col("response_id").isNull() | (F.col("page_id") == F.col("response_id")), F.col("payload")))
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
         fs.create_dir(root, recursive=True)
@@ -188,7 +237,7 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
                 first = (r["page_id"], r["sha"]) != state.get("last")
                 state["last"] = (r["page_id"], r["sha"])
                 refers = None if first and r["page_id"] == r["response_id"] else r["response_id"]
-                data = member(record(r["page_id"], r["url"], r["payload"], r["length"], sha, refers))
+                data = member(record(r["page_id"], r["url"], r["payload"] or b"", r["length"], sha, refers))
                 state["out"].write(data)
                 state["hash"].update(data)
                 state["records"] += 1
@@ -201,15 +250,8 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
                 pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
             )
 
-    placed = rows.repartition(n, "shard").sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "sha", "url")
-    written = placed.mapInArrow(store, MANIFEST)
-    temporary, final = f"{path}/_manifest.tmp-{uuid.uuid4().hex}", f"{path}/manifest"
-    written.write.parquet(temporary)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(temporary).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.rename(hadoop(temporary), hadoop(final)):
-        raise OSError(f"cannot commit {final}")
-    return spark.read.schema(MANIFEST).parquet(final).withColumn("path", F.lit(path))
+    placed = rows.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "sha", "url")
+    return commit(spark, path, cut(placed.mapInArrow(store, WRITTEN), "written"))
 
 
 def _bisect(bounds: list[int]):

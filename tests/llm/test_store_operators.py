@@ -55,6 +55,58 @@ def test_tiers_merge_files_of_like_size(spark):
     assert s.full_tiers(f[:3]) == []
 
 
+def test_reshard_returns_every_row(spark, docs, nothing):
+    assert ordered(shards.reshard(docs).collect()) == ordered(docs.collect())
+    assert shards.reshard(nothing, n=2).count() == 0
+
+
+def test_a_vacuum_leaves_what_is_being_written(spark, docs):
+    s, other = shards.Store(spark), None
+    s.append(docs)
+    other = shards.Store(spark, s.path)
+    with other._pending("data/arriving"):
+        docs.write.parquet(f"{s.path}/data/arriving")
+        assert s.vacuum() == 0
+        other._commit_last(lambda now: (now["files"] + other._files("data/arriving"), None))
+    assert s.vacuum() == 0 and s.read().count() == 2 * docs.count()
+    s._fs.create(s._path(f"{s.path}/pending/left"), False).close()  # of a writer that failed
+    docs.write.parquet(f"{s.path}/data/left")
+    assert s.vacuum() == 0 and s.vacuum(grace=-1) > 0 and s.read().count() == 2 * docs.count()
+
+
+def test_two_writers_at_once(spark, docs):
+    s = shards.Store(spark)
+    seen = []
+    commit = s.commit
+
+    def late(before, files, schema):
+        if not seen:  # another writer is first
+            seen.append(shards.Store(spark, s.path).append(docs))
+        return commit(before, files, schema)
+
+    s.commit = late
+    s.append(docs)
+    assert s.manifest()["version"] == 2 and s.read().count() == 2 * docs.count()
+    # a merge that comes second to a merge of the same files leaves things as they are
+    seen.clear()
+
+    def merged_before(before, files, schema):
+        if not seen:
+            seen.append(shards.Store(spark, s.path).compact(everything=True))
+        return commit(before, files, schema)
+
+    s.commit = merged_before
+    s.compact(everything=True)
+    assert s.manifest() == seen[0] and s.read().count() == 2 * docs.count()
+    # one that comes second to an append keeps what was appended
+    seen.clear()
+    s.commit = commit
+    s.append(docs)
+    s.commit = late
+    s.compact(everything=True)
+    assert len(seen) == 1 and s.read().count() == 4 * docs.count()
+
+
 # WARC
 
 
@@ -91,6 +143,46 @@ def test_warc_files_are_the_same_each_time(spark):
     assert ordered(a) == ordered(b)
 
 
+def test_a_second_write_adds_to_a_path(spark):
+    df, rows = pages(spark)
+    first = warc.write(df.where("page_id = 1"))
+    path = first.first()["path"]
+    both = warc.write(df.where("page_id > 1"), path)
+    assert warc.versions(spark, path) == [1, 2]
+    back = ordered((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read(both).collect())
+    assert back == ordered([*wanted(rows[:1]), *wanted(rows[1:])])
+    assert warc.read(warc.manifest(spark, path, 1)).count() == 1
+    # a writer that is second to commit a number takes the next
+    real, numbers = warc.versions, []
+    try:
+        warc.versions = lambda *a: numbers.append(real(*a)) or (real(*a) if len(numbers) > 1 else real(*a)[:-1])
+        third = warc.write(df.where("page_id = 2"), path)
+    finally:
+        warc.versions = real
+    assert warc.versions(spark, path) == [1, 2, 3] and warc.read(third).count() == len(rows) + 1
+
+
+def test_warc_of_null_ids(spark):
+    rows = [(None, "u", "<p>one</p>"), (None, "u", "<p>one</p>"), (None, None, "<p>two</p>"), (3, "u", "<p>two</p>"), (None, "u", None)]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string")), with_payload=True).collect()
+    assert len(got) == 5 and sum(r["page_id"] is None for r in got) == 4
+    assert [(r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 3] == [("response", None)]
+    assert ordered((r["record_type"], r["refers_to"]) for r in got if r["page_id"] is None) == ordered([("response", None)] * 3 + [("revisit", 3)])
+    assert ordered(r["payload"] for r in got if r["record_type"] == "response") == ordered([b"<p>one</p>", b"<p>one</p>", b"<p>two</p>", b""])
+
+
+def test_an_outlying_id_does_not_spoil_the_shards(spark):
+    ids = [*range(2000), 1 << 60]
+    for most in (100_000, 300):
+        sizes = spark.createDataFrame([(i, 100) for i in ids] + [(None, 5)], "page_id long, length long")
+        bounds = warc.shard_bounds(sizes, 10_000, most)
+        held = np.diff(np.searchsorted(ids, [0, *bounds, 1 << 61]))
+        assert 15 <= len(bounds) <= 25 and held.max() <= 200, (most, held)
+    rows = [(i, "u", f"{i:0100d}") for i in ids]
+    m = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=10_000)
+    assert m.agg(F.max("records")).first()[0] <= 110 and m.count() >= 19 and warc.read(m).count() == len(ids)
+
+
 def test_warc_of_nothing(spark):
     m = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert m.count() == 0 and warc.read(m).count() == 0
