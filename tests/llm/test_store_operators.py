@@ -203,12 +203,12 @@ def test_gzip_members():
 def vectors(spark):
     r = np.random.default_rng(11)
     rows = [(i, r.normal(0, 0.1, 8).tolist()) for i in range(330)]
-    rows += [(400 + i, rows[7][1]) for i in range(40)] + [(100, rows[100][1]), (500, None), (600, [float("nan")] * 8), (700, [0.1] * 7 + [None]), (800, [0.5] * 3), (900, []), (None, rows[3][1]), (301, [1e9] * 8)]
+    rows += [(400 + i, rows[7][1]) for i in range(40)] + [(100, rows[100][1]), (500, None), (600, [float("nan")] * 8), (700, [0.1] * 7 + [None]), (800, [0.5] * 3), (900, []), (901, []), (902, [float("inf")] * 8), (950, [-float("inf")] + [0.0] * 7), (None, rows[3][1]), (301, [1e9] * 8)]
     return crowded(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), rows
 
 
 def nearest(rows, k, every):
-    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(v)) for i, v in ok if i % every == 0}:
         score = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))
@@ -216,13 +216,25 @@ def nearest(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("k", [10, 500])
-def test_search_equals_brute_force(spark, k):
+#: As in production; several blocks, shelves, packets and chunks.
+SIZES = [{}, {"block": 4, "shelf": 3, "group": 2, "chunk": 5}]
+
+
+@pytest.mark.parametrize(("k", "sizes"), [(10, SIZES[0]), (500, SIZES[1]), (10, SIZES[1])])
+def test_search_equals_brute_force(spark, k, sizes):
     df, rows = vectors(spark)
-    got = topk.search(df, k=k, every=50).collect()
+    got = topk.search(df, k=k, every=50, **sizes).collect()
     assert ordered(got) == ordered(nearest(rows, k, 50))
 
 
+def test_search_of_several_dimensions(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, r.normal(0, 1, r.choice([2, 5, 16])).tolist()) for i in range(400)]
+    rows += [(500 + i, rows[i][1]) for i in range(100)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=5, block=8, shelf=2, group=16, chunk=3).collect()
+    assert ordered(got) == ordered(nearest(rows, 4, 5))
+
+
 def test_search_of_nothing(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
