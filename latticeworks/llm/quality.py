@@ -7,13 +7,16 @@ A hidden layer turns each chunk's maxima into features; their maximum and their
 mean over all chunks of the document give one probability.
 
 Labels are learned only from rows outside the held-out fold (crc32 of the
-doc_id as text, modulo 5, not 0). The fit uses at most ``max_rows`` labelled
-documents (a documented bound), chosen by a hash of their id, and of each at
-most ``max_bytes`` bytes of chunks spread evenly over it; scoring always reads
-whole texts.
-
-Defined cases: null and empty texts score as one chunk of padding; a table with
-no usable labels gives a constant score (the mean label, or 0.5 with none);
+doc_id as text, modulo 5, not 0). The fit uses a bounded sample of labelled
+documents, chosen by a hash of their id: at most ``max_rows``, and as many as
+have ``max_bytes`` bytes together. Of each it reads the whole text, all chunks,
+as scoring does; chunks pass the network in blocks, so that a very long text
+takes no more memory than a block and its chunks' features.
+
+Defined cases: null and empty texts score as one chunk of padding; a label other
+than 0 or 1, or of a null id, is none, and an id with both labels is left out;
+of rows that repeat a labelled id the shortest, then first, text is read; a table with no
+usable labels gives a constant score (the mean label, or 0.5 with none);
 repeated rows get equal scores; other columns pass through untouched.
 """
 
@@ -32,6 +35,8 @@ GROUP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 8, 48, 24
 HALF = CHUNK // 2
 #: Chunks that are convolved at once; bounds the memory of a task.
 BLOCK = 4096
+#: Chunks that are trained on at once, and passes over the sample.
+TRAIN_BLOCK, EPOCHS = 2048, 6
 THRESHOLD = 0.3
 
 
@@ -119,18 +124,46 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, max_bytes: int = 4096, seed: int = 7) -> Net:
-    """Fit by Adam on the log loss; gradients flow through the pooled maxima only."""
+def _features(net: Net, codes: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Hidden features of all chunks, block by block; with what the filters saw if there is one block."""
+    h, seen = [], []
+    for lo in range(0, len(codes), TRAIN_BLOCK):
+        p, at, x = pooled(net, codes[lo : lo + TRAIN_BLOCK], True)
+        h.append(np.maximum(p @ net.hidden + net.hidden_bias, 0))
+        if len(codes) <= TRAIN_BLOCK:
+            seen.append((p, at, x))
+    return np.concatenate(h), seen
+
+
+def _gradients(net: Net, codes: np.ndarray, dh: np.ndarray, seen: list[tuple]) -> list[np.ndarray]:
+    """Of the embedding, both halves of the filters, their bias, the hidden layer and its bias."""
+    total = [np.zeros_like(x) for x in (net.embed, net.conv_a, net.conv_b, net.bias, net.hidden, net.hidden_bias)]
+    for lo in range(0, len(codes), TRAIN_BLOCK):
+        own, d = codes[lo : lo + TRAIN_BLOCK], dh[lo : lo + TRAIN_BLOCK]
+        p, at, x = seen[0] if seen else pooled(net, own, True)
+        dp = (d @ net.hidden.T) * (p > 0)
+        rows = np.arange(len(own))[:, None]
+        groups = own.reshape(len(own), CHUNK // GROUP, GROUP)
+        de = np.zeros_like(net.embed)
+        halves = []
+        for shift, w in ((0, net.conv_a), (1, net.conv_b)):
+            halves.append(np.einsum("nfw,nf->wf", x[rows, at + shift], dp, optimize=True))
+            flat = (dp[:, :, None] * w.T[None]).reshape(-1, EMBED)
+            idx = groups[rows, at + shift].reshape(-1)
+            for k in range(EMBED):
+                de[:, k] += np.bincount(idx, flat[:, k], 257)
+        for t, g in zip(total, (de, *halves, dp.sum(0), p.T @ d, d.sum(0)), strict=True):
+            t += g
+    return total
+
+
+def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Net:
+    """Fit by Adam on the log loss, over all chunks; gradients flow through the pooled maxima only."""
     net = new_net(seed)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         net.const = float(y.mean()) if len(y) else 0.5
         return net
-    most = max(1, max_bytes // HALF)
-    docs = []
-    for t in texts:
-        c, _ = chunks_of([t])
-        docs.append(c if len(c) <= most else c[np.linspace(0, len(c) - 1, most).astype(int)])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     weight = np.sqrt(weight)
     r = np.random.default_rng(seed)
@@ -138,38 +171,21 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, max_bytes: int
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         rate = 0.004 * (1 - epoch / epochs) + 0.0004
-        order = r.permutation(len(docs))
+        order = r.permutation(len(texts))
         for lo in range(0, len(order), 32):
             pick = order[lo : lo + 32]
-            codes = np.concatenate([docs[i] for i in pick])
-            sizes = np.array([len(docs[i]) for i in pick])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            codes, starts = chunks_of([texts[i] for i in pick])
+            sizes = np.diff(np.append(starts, len(codes)))
             owner = np.repeat(np.arange(len(pick)), sizes)
-            p, at, x = pooled(net, codes, True)
-            h = np.maximum(p @ net.hidden + net.hidden_bias, 0)
+            h, seen = _features(net, codes)
             top, mean = np.maximum.reduceat(h, starts), np.add.reduceat(h, starts) / sizes[:, None]
             both = np.concatenate([top, mean], axis=1)
             net.out_bias = float(params[-1][0])
             dz = ((sigmoid(both @ net.out + net.out_bias) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
             dboth = dz[:, None] * net.out
-            is_top = h == top[owner]
-            dh = np.where(is_top, dboth[owner, :HIDDEN], 0) + dboth[owner, HIDDEN:] / sizes[owner][:, None]
+            dh = np.where(h == top[owner], dboth[owner, :HIDDEN], 0) + dboth[owner, HIDDEN:] / sizes[owner][:, None]
             dh = dh * (h > 0)
-            dp = (dh @ net.hidden.T) * (p > 0)
-            rows = np.arange(len(codes))[:, None]
-            xa, xb = x[rows, at], x[rows, at + 1]  # chunks x filters x (GROUP * EMBED)
-            da = np.einsum("nfw,nf->wf", xa, dp, optimize=True)
-            db = np.einsum("nfw,nf->wf", xb, dp, optimize=True)
-            dx_a = dp[:, :, None] * net.conv_a.T[None]
-            dx_b = dp[:, :, None] * net.conv_b.T[None]
-            groups = codes.reshape(len(codes), CHUNK // GROUP, GROUP)
-            de = np.zeros_like(net.embed)
-            for dx, g in ((dx_a, groups[rows, at]), (dx_b, groups[rows, at + 1])):
-                flat = dx.reshape(-1, EMBED)
-                idx = g.reshape(-1)
-                for k in range(EMBED):
-                    de[:, k] += np.bincount(idx, flat[:, k], 257)
-            grads = [de, da, db, dp.sum(0), p.T @ dh, dh.sum(0), both.T @ dz, np.array([dz.sum()], np.float32)]
+            grads = [*_gradients(net, codes, dh, seen), both.T @ dz, np.array([dz.sum()], np.float32)]
             step += 1
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
@@ -184,22 +200,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Net:
-    """Learn from at most ``max_rows`` labelled rows outside the held-out fold.
-
-    The labels table names the sample; only its texts reach the driver. A label
-    other than 0 or 1, or a null id, is no label; an id with both labels is left out.
-    """
-    picked = (
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+    """Whole texts and labels of the sample, in order of their ids' hashes: rows as long as they fit."""
+    named = (
         labels.select(F.col(id_col).alias("_id"), F.col("quality").alias("_y"))
         .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
         .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
-        .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+        .withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(max_rows)
     )
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, 65536).alias("_t"))
-    rows = texts.join(F.broadcast(picked), "_id").select("_id", "_y", "_t").collect()  # at most max_rows ids
-    rows = sorted({r["_id"]: r for r in sorted(rows, key=lambda r: r["_t"])}.values(), key=lambda r: r["_id"])
-    return train([r["_t"].encode("utf-8", "replace") for r in rows], [r["_y"] for r in rows])
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    own = texts.join(F.broadcast(named), "_id")
+    sizes = own.groupBy("_id", "_h").agg(F.min(F.octet_length("_t")).alias("_n")).orderBy("_h", "_id").collect()  # at most max_rows
+    picked, left = [], max_bytes
+    for r in sizes:
+        if r["_n"] <= left:
+            picked.append(r["_id"])
+            left -= r["_n"]
+    if not picked:
+        return []
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in picked], docs.select(F.col(id_col).alias("_id")).schema)
+    rows = own.join(F.broadcast(chosen), "_id").groupBy("_id", "_h", "_y").agg(F.min_by("_t", F.struct(F.octet_length("_t"), "_t")).alias("_t")).collect()
+    return [(r["_t"].encode("utf-8", "replace"), r["_y"]) for r in sorted(rows, key=lambda r: (r["_h"], r["_id"]))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> Net:
+    """Learn from at most ``max_rows`` labelled rows of ``max_bytes`` bytes together, outside the held-out fold."""
+    rows = sampled(docs, labels, max_rows, max_bytes, id_col, text_col)
+    return train([t for t, _ in rows], [y for _, y in rows])
 
 
 def score(text: Column, net: Net) -> Column:

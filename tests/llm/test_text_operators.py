@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 from latticeworks.llm import bpe, components, decontaminate, jaccard, quality, secret_scan, suffix, token_counts, trigram_query
 from latticeworks.llm.common import tokenizer_path
 
+from .conftest import words
+
 
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=repr)
@@ -307,6 +309,59 @@ def test_quality_of_odd_rows(docs, spark, nothing):
     assert quality.keep(docs, net, 0.0).columns == docs.columns and quality.classify(nothing, net).count() == 0
 
 
+def plainly(net, text):
+    """The network's score of a text, filter by filter."""
+    raw = [*text, *[256] * (-len(text) % quality.HALF)]
+    raw += [256] * max(0, quality.CHUNK - len(raw))
+    features = []
+    for lo in range(0, len(raw) - quality.HALF, quality.HALF):
+        chunk = raw[lo : lo + quality.CHUNK]
+        top = [0.0] * quality.FILTERS
+        for g in range(0, quality.CHUNK - quality.GROUP, quality.GROUP):
+            a, b = (np.concatenate([net.embed[c] for c in chunk[g + k : g + k + quality.GROUP]]) for k in (0, quality.GROUP))
+            for f in range(quality.FILTERS):
+                top[f] = max(top[f], float(a @ net.conv_a[:, f] + b @ net.conv_b[:, f] + net.bias[f]))
+        features.append([max(0.0, sum(top[f] * net.hidden[f, k] for f in range(quality.FILTERS)) + net.hidden_bias[k]) for k in range(quality.HIDDEN)])
+    both = [max(c) for c in zip(*features, strict=True)] + [sum(c) / len(c) for c in zip(*features, strict=True)]
+    return 1 / (1 + np.exp(-(float(np.dot(both, net.out)) + net.out_bias)))
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    r = random.Random(16)
+    net = quality.train([words(r, 40).encode() for _ in range(40)], [k % 2 for k in range(40)], epochs=1)
+    rows = [(0, None), (1, ""), (2, "x"), (3, words(r, 30)), (4, words(r, 200)), (5, "é" * 128), (6, "y" * 256), (7, "日本" * 43), (8, words(r, 90) + "\n\n###")]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()
+    want = {i: plainly(net, (t or "").encode()) for i, t in rows}
+    assert all(abs(x["score"] - want[x["doc_id"]]) < 1e-4 for x in got) and len({round(x["score"], 4) for x in got}) > 5
+
+
+def test_training_in_blocks_is_the_same(monkeypatch):
+    r = random.Random(17)
+    texts, labels = [words(r, r.randint(5, 300)).encode() for _ in range(50)], [k % 2 for k in range(50)]
+    whole = quality.train(texts, labels, epochs=1)
+    monkeypatch.setattr(quality, "TRAIN_BLOCK", 7)
+    parts = quality.train(texts, labels, epochs=1)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(whole.parts(), parts.parts(), strict=True))
+
+
+def test_the_sample_holds_whole_texts(spark):
+    rows = [(i, f"{i} " + "a" * (10 * i)) for i in range(200)] + [(300, "z" * 200_000), (301, "two rows"), (301, "row")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(200)] + [(300, 1), (301, 0), (7, 0), (None, 1), (8, 2), (400, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    import zlib
+
+    usable = {i for i in [*range(200), 300, 301] if zlib.crc32(str(i).encode()) % 5 and i not in (7,)}
+    whole = {t.encode() for i, t in rows if i in usable and t != "two rows"}
+    every = quality.sampled(d, labels, 1000, 1 << 20)
+    assert {t for t, _ in every} == whole
+    few = quality.sampled(d, labels, 20, 1 << 20)
+    assert len(few) == 20 and {t for t, _ in few} <= whole
+    small = quality.sampled(d, labels, 1000, 20_000)
+    assert 10 < len(small) and sum(len(t) for t, _ in small) <= 20_000 and {t for t, _ in small} <= whole
+    assert quality.sampled(d, labels.where("false"), 10, 10) == []
+
+
 def test_chunks_cover_whole_texts():
     for n in (0, 1, 127, 128, 129, 256, 257, 1000):
         codes, starts = quality.chunks_of([b"a" * n, b"b"])
