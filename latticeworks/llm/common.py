@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, one machine) is a local one made
-    and put into the session.
+    Only where the session names none and runs on one machine is a local one
+    made and put into the session; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="latticeworks-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -65,6 +67,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def arrow_fs(path: str):
+    """Arrow file system and path within it, for workers; plain paths are local."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path else "file://" + path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which follows the data's size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

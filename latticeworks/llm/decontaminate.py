@@ -9,27 +9,33 @@ Before that, a document is split where two neighbouring words never are
 neighbours in an item: no match crosses such a place, so only runs at least as
 long as the shortest window reach the automaton.
 
-Items go to the executors in blocks of at most ``block_words`` words, so what
-is broadcast is bounded however large the benchmark is; with more than one
-block the hits of a document are merged by position.
+Items are dealt over blocks of about ``block_words`` words by a hash, and each
+block's automaton is built in a task and written as a file in the session's
+shared folder. Documents are passed once: a worker takes each batch through
+the blocks' files one after the other, holding one automaton at a time, and
+merges the hits of a document by position. Nothing of the benchmark goes
+through the driver or into a plan, however large it is.
 
 Defined cases: a null or empty text has no words; an item without words has no
-windows; items that repeat an id count once; a null item_id takes no part in
-``items_sha256`` or ``n_items`` though its windows hit; tables may be empty;
+windows; items that repeat an id count once, as do all items without an id,
+which ``items_sha256`` can't name; tables may be empty;
 further columns are ignored here and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import arrow_fs, fresh_path, packed, unpacked
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -152,68 +158,106 @@ class Automaton:
         return hits, found
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items streamed to the driver partition by partition, in blocks of bounded size."""
-    block, n = [], 0
-    for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        words = words_of(r["t"])
-        if words:
-            block.append((r["i"], words))
-            n += len(words)
-            if n >= block_words:
-                yield block
-                block, n = [], 0
-    yield block
+def written_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> tuple[str, int]:
+    """A folder with the automata of the items' blocks, one file a block (none without words), and the number of blocks."""
+    spark = items.sparkSession
 
+    @F.pandas_udf("long")
+    def size(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], index=texts.index, dtype="int64")
 
-def report(n_words: int, spans: list[tuple[int, int]], ids: set[str]) -> tuple:
+    own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    n = max(1, -(-(own.agg(F.sum(size("t"))).first()[0] or 0) // block_words))
+
+    def built(pdf: pd.DataFrame) -> pd.DataFrame:
+        listed = [(None if pd.isna(i) else i, words_of(t)) for i, t in zip(pdf["i"], pdf["t"], strict=True)]
+        made = Automaton(sorted((x for x in listed if x[1]), key=lambda x: (x[0] or "", x[1])), window)
+        made.items = [(i, []) for i, _ in made.items]  # only the names are needed from here on
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "automaton": [pickle.dumps(made)]})
+
+    path = fresh_path(spark, "automata")
+    dealt = own.where("t IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    dealt.groupBy("block").applyInPandas(built, "block long, automaton binary").write.partitionBy("block").parquet(path)
+    return path, n
+
+
+_loaded: dict[tuple[str, int], Automaton | None] = {}
+
+
+def automaton(path: str, block: int) -> Automaton | None:
+    """A block's automaton from its file; a worker holds the last one."""
+    if (path, block) not in _loaded:
+        _loaded.clear()
+        fs, root = arrow_fs(f"{path}/block={block}")
+        files = [f.path for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+        made = [x for f in files for x in pq.ParquetFile(f, filesystem=fs).read(["automaton"]).column(0).to_pylist()]
+        _loaded[path, block] = pickle.loads(made[0]) if made else None
+    return _loaded[path, block]
+
+
+def report(n_words: int, spans: list[tuple[int, int]], ids: set[str | None]) -> tuple:
     n_hit = sum(b - a for a, b in spans)
-    names = sorted(ids, key=lambda x: x.encode())
+    names = sorted(ids - {None}, key=lambda x: x.encode())
     sha = hashlib.sha256(",".join(names).encode()).hexdigest()
-    return n_words, n_hit, len(names), sha, n_hit / n_words if n_words else 0.0, [{"start": a, "end": b} for a, b in spans], names
+    return n_words, n_hit, len(ids), sha, n_hit / n_words if n_words else 0.0, [{"start": a, "end": b} for a, b in spans], names
+
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-def matcher(text: Column, block: list[tuple[str | None, list[bytes]]], window: int) -> Column:
-    """What one block of items hits in each text, as a struct of SPANS."""
-    made: list[Automaton] = []
 
-    @F.pandas_udf(SPANS)
-    def matched(texts: pd.Series) -> pd.DataFrame:
-        if not made:  # once in each Python worker
-            made.append(Automaton(block, window))
-        rows = []
+#: Texts and bytes of text that a worker takes through the blocks at once.
+TEXTS, BYTES = 10_000, 32 << 20
+
+
+def matched(path: str, n: int, texts: list[str | None]) -> list[tuple]:
+    """What the items of ``n`` blocks hit in each text, as rows of SPANS."""
+    if n == 1:
+        made = automaton(path, 0)
+        out = []
         for t in texts:
             words = words_of(t)
-            spans, found = made[0].match(words)
-            rows.append(report(len(words), spans, {block[k][0] for k in found} - {None}))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "coverage", "spans", "item_ids"])
+            spans, found = made.match(words) if made else ([], set())
+            out.append(report(len(words), spans, {made.items[k][0] for k in found}))
+        return out
+    runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    ids: list[set[str | None]] = [set() for _ in texts]
+    for b in range(n):
+        made = automaton(path, b)
+        if made is None:
+            continue
+        for k, t in enumerate(texts):
+            spans, found = made.match(words_of(t))
+            runs[k] += spans
+            ids[k] |= {made.items[x][0] for x in found}
+    return [report(len(words_of(t)), merged(r), i) for t, r, i in zip(texts, runs, ids, strict=True)]
 
-    return matched(text)
 
-
-def merged(hits: list[Column]) -> Column:
-    """One struct of SPANS from those of several blocks."""
+def with_hits(docs: DataFrame, items: DataFrame, out: str = "_hits", window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items_sha256, coverage, spans (of words), item_ids."""
+    path, n = written_blocks(items, item_id, item_text, block_words, window)
 
     @F.pandas_udf(SPANS)
-    def both(*parts: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for rs in zip(*(p.itertuples(index=False) for p in parts), strict=True):
-            runs: list[tuple[int, int]] = []
-            for a, b in sorted((int(s["start"]), int(s["end"])) for r in rs for s in r.spans):
-                if runs and a <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-                else:
-                    runs.append((a, b))
-            rows.append(report(int(rs[0].n_words), runs, {x for r in rs for x in r.item_ids}))
+    def hits(texts: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        held: list[str | None] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if len(held) >= TEXTS or size >= BYTES:
+                rows += matched(path, n, held)
+                held, size = [], 0
+        rows += matched(path, n, held)
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "coverage", "spans", "item_ids"])
 
-    return both(*hits)
-
-
-def with_hits(docs: DataFrame, items: DataFrame, out: str = "_hits", window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items_sha256, coverage, spans (of words), item_ids."""
-    hits = [matcher(F.col(text_col), b, window) for b in blocks_of(items, item_id, item_text, block_words)]
-    return docs.withColumn(out, hits[0] if len(hits) == 1 else merged(hits))
+    return docs.withColumn(out, hits(text_col))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:

@@ -107,7 +107,7 @@ hit AS (SELECT r, i, n, item_id FROM occ JOIN win USING (n, x)),
 words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hit) GROUP BY r),
 its AS (
   SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
-  FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM hit) WHERE name IS NOT NULL GROUP BY r
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM hit) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

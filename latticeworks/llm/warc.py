@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, join_small
+from .common import arrow_fs, cut, fresh_path, join_small
 
 #: Compressed size at which a file is rolled, and payload bytes of a shard.
 ROLL, SHARD = 64 << 20, 32 << 20
@@ -119,13 +119,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def _fs(path: str):
-    """Arrow file system and path within it; plain paths are local."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-
-
 def with_roles(pages: DataFrame, revisit_from: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Rows (page_id, url, payload, length, sha, response_id); response_id where others have the payload.
 
@@ -210,7 +203,7 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
     rows = rows.withColumn("payload", F.when(F.col("response_id").isNull() | (F.col("page_id") == F.col("response_id")), F.col("payload")))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(path)
+        fs, root = arrow_fs(path)
         fs.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
         state: dict = {"shard": None, "part": 0, "out": None}
@@ -276,7 +269,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
-                fs, root = _fs(f["path"])
+                fs, root = arrow_fs(f["path"])
                 out: list[tuple] = []
                 size = 0
                 with fs.open_input_stream(f"{root}/{f['file']}", compression=None) as stream:

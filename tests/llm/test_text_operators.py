@@ -537,7 +537,7 @@ def hits_of(t, items, window=10):
                 hit.update(range(k, k + n))
                 ids |= wins[tuple(words[k : k + n])]
     names = sorted(str(x) for x in ids if x is not None)
-    return len(words), len(hit), len(names), sha(",".join(names).encode()), bool(hit)
+    return len(words), len(hit), len(ids), sha(",".join(names).encode()), bool(hit)
 
 
 def contaminated():
