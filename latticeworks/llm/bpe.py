@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, packed, partitions, tokenizer_path
+from .common import ROW, packed, partitions, tidied, tokenizer_path
 from .token_counts import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
@@ -95,19 +95,34 @@ class Codec:
     def learn(self, words: set) -> dict:
         """Encode words (bytes) and pieces of folded Latin text (str)."""
         out = {}
+        # words of no more bytes than a leaf's symbols have no piece to halve: the library takes them at once
+        short = [w for w in words if isinstance(w, bytes) and len(w) <= self.leaf and w not in self.older]
+        at_once = {w: e.ids for w, e in zip(short, self.tok.encode_batch([w.decode() for w in short], add_special_tokens=False), strict=True)} if short else {}
+        tokenize, size = self.tok.model.tokenize, 0
         for w in words:
             got = self.older.get(w)
             if got is None:
-                ids: list[int] = []
-                for p in self.pieces(w.decode()) if isinstance(w, bytes) else (w.encode().decode("latin-1").translate(self.symbol),):
-                    ids += (p,) if isinstance(p, int) else [t for t, _ in self.tree(p)]
-                got = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+                if isinstance(w, str):
+                    p = w.encode().decode("latin-1").translate(self.symbol)
+                    if len(p) <= self.leaf:
+                        t = tokenize(p)
+                        got = np.array([x.id for x in t], "<u4").tobytes(), " ".join([x.value for x in t]).encode()
+                    else:
+                        got = self.named([t for t, _ in self.tree(p)])
+                elif w in at_once:
+                    got = self.named(at_once[w])
+                else:
+                    got = self.named([t for p in self.pieces(w.decode()) for t in ((p,) if isinstance(p, int) else [t for t, _ in self.tree(p)])])
             out[w] = got
             if len(w) <= MOST:
-                self.known[w] = got
-                self.size += len(w) + len(got[0]) + len(got[1]) + EACH
+                size += len(w) + len(got[0]) + len(got[1]) + EACH
+        self.known.update(out if max(map(len, words)) <= MOST else {w: g for w, g in out.items() if len(w) <= MOST})
+        self.size += size
         if self.size > REMEMBER:  # what is met again stays
-            self.older, self.known, self.size = self.known, {}, 0
+            self.older.clear()
+            self.older.update(self.known)
+            self.known.clear()
+            self.size = 0
         return out
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
@@ -142,6 +157,10 @@ class Codec:
                 yield self.special[name]
             at = i + len(name)
 
+    def named(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Token ids as bytes (little-endian, 32 bits), and decoded."""
+        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+
     def tree(self, piece: str) -> list[tuple[int, int]]:
         """Tokens of a piece: its leaves, joined."""
         if len(piece) <= self.leaf:
@@ -241,8 +260,13 @@ def encoded_short(rows: DataFrame, name: str, leaf: int, wanted: tuple[str, ...]
                     yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, at + 1 - lo) for i in range(len(kept))] + [pa.array(o, types[ADDED[w]]) for o, w in zip(out, wanted, strict=True)], names=[*kept, *wanted])
                     lo, size, out = at + 1, 0, [[] for _ in wanted]
 
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(name, leaf)
+        c.size = 0
+        return tidied(run, c.known, c.older)(batches)
+
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(w, T._parse_datatype_string(ADDED[w])) for w in wanted])
-    return rows.select(*kept, "_t").mapInArrow(run, schema)
+    return rows.select(*kept, "_t").mapInArrow(tidy, schema)
 
 
 def encode_long(texts: DataFrame, name: str, long: int, leaf: int) -> DataFrame:

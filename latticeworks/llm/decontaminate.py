@@ -35,7 +35,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, fresh_path, packed, unpacked
+from .common import arrow_fs, fresh_path, packed, tidied, unpacked
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -176,7 +176,7 @@ def written_blocks(items: DataFrame, id_col: str, text_col: str, block_words: in
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "automaton": [pickle.dumps(made)]})
 
     path = fresh_path(spark, "automata")
-    dealt = own.where("t IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    dealt = own.where("t IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     dealt.groupBy("block").applyInPandas(built, "block long, automaton binary").write.partitionBy("block").parquet(path)
     return path, n
 
@@ -243,8 +243,7 @@ def with_hits(docs: DataFrame, items: DataFrame, out: str = "_hits", window: int
     """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items_sha256, coverage, spans (of words), item_ids."""
     path, n = written_blocks(items, item_id, item_text, block_words, window)
 
-    @F.pandas_udf(SPANS)
-    def hits(texts: pd.Series) -> pd.DataFrame:
+    def rows_of(texts: pd.Series) -> pd.DataFrame:
         rows: list[tuple] = []
         held: list[str | None] = []
         size = 0
@@ -257,6 +256,10 @@ def with_hits(docs: DataFrame, items: DataFrame, out: str = "_hits", window: int
         rows += matched(path, n, held)
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "coverage", "spans", "item_ids"])
 
+    @F.pandas_udf(SPANS)
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return tidied(lambda some: map(rows_of, some))(batches)
+
     return docs.withColumn(out, hits(text_col))
 
 

@@ -22,6 +22,7 @@ repeated rows get equal scores; other columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, tidied, unpacked
 
 GROUP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 8, 48, 24
 HALF = CHUNK // 2
@@ -232,9 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int
 def score(text: Column, net: Net) -> Column:
     """Column of scores, 0 to 1."""
 
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series(score_texts(net, [(x or "").encode("utf-8", "replace") for x in t]), index=t.index)
+
     @F.pandas_udf("double")
-    def scored(t: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(net, [(x or "").encode("utf-8", "replace") for x in t]), index=t.index)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidied(scores)(batches)
 
     return scored(text)
 
