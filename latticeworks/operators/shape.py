@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ShortType, StructField, StructType
+from pyspark.sql.types import LongType, ShortType, StructField, StructType
 
-from ..grid import AXES, key, steps
-from ..settings import settle
+from ..grid import AXES, key, steps, unkey
+from ..settings import ranked, settle
 from ..voxels import NORMAL, U32, Voxels
 from .boolean import KEY, invert
 from .morphology import neighbours, offset
@@ -24,20 +24,23 @@ def reach(cells: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(c, gi, gj, gk, dist): cells within ``depth`` steps' length of each start (c its packed seed)."""
     near = F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(s, "ijk", strict=True)), F.lit(sum(x * x for x in s) ** 0.5).alias("w")) for s in steps(26)))
     best = settle(start.withColumn("dist", F.lit(0.0)))
-    fresh = best
-    while True:  # depth rounds at most: every step is 1 at least
+    fresh, again = best, True
+    while again:  # depth rounds at most: every step is 1 at least
         moved = fresh.withColumn("_s", F.explode(near))
         moved = moved.select("c", *((F.col(x) + F.col(f"_s.{n}")).alias(x) for x, n in zip(AXES, "ijk", strict=True)), F.round(F.col("dist") + F.col("_s.w"), 9).alias("dist"))
         moved = moved.where(F.col("dist") <= depth + SLACK).groupBy("c", *KEY).agg(F.min("dist").alias("dist")).join(cells, KEY, "left_semi")
-        old = best.withColumnRenamed("dist", "_old")
-        fresh = settle(moved.join(old, ["c", *KEY], "left").where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).select("c", *KEY, "dist"))
-        if fresh.isEmpty():
-            return best
-        best = settle(best.unionByName(fresh).groupBy("c", *KEY).agg(F.min("dist").alias("dist")))
+        # old and new distances meet in one aggregation; a row is fresh if the new one won
+        both = best.withColumn("_old", F.lit(True)).unionByName(moved.withColumn("_old", F.lit(False)))
+        best = settle(both.groupBy("c", *KEY).agg(F.min("dist").alias("dist"), F.min(F.when(F.col("_old"), F.col("dist"))).alias("_was")))
+        fresh = best.where("_was IS NULL OR dist < _was").select("c", *KEY, "dist")
+        again = not fresh.isEmpty()
+        best = best.drop("_was")
+    return best
 
 
 def _moments(pairs: DataFrame) -> DataFrame:
-    x, y, z = (F.col(a).cast("double") for a in AXES)
+    # around the seed, so that large indices cancel without loss
+    x, y, z = ((F.col(a) - o).cast("double") for a, o in zip(AXES, unkey(F.col("c")), strict=True))
     return pairs.groupBy("c").agg(
         F.count("*").cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(z).alias("z"),
         F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(z * z).alias("zz"), F.sum(x * y).alias("xy"), F.sum(x * z).alias("xz"), F.sum(y * z).alias("yz"),
@@ -163,29 +166,81 @@ def _neighbourhood(cells: DataFrame, seeds: DataFrame, depth: int | None, size:
     return found.withColumn("_n", nth).where(F.col("_n") <= size).drop("_n")
 
 
-def segment(a: Voxels, angular_tolerance: float = 0.1, max_curvature: float = 0.01, connectedness: int = 26) -> Voxels:
+#: Cells of one flat component that one task segments by itself; larger ones lose a region a round, all of them at once.
+ALONE = 200_000
+
+
+def _like(nx: np.ndarray, ny: np.ndarray, nz: np.ndarray, seed: tuple[float, float, float], tolerance: float) -> np.ndarray:
+    dot = (nx * (seed[0] / SCALE) + ny * (seed[1] / SCALE) + nz * (seed[2] / SCALE)) / SCALE
+    return np.arccos(np.minimum(np.abs(dot), 1.0)) <= tolerance
+
+
+def regions_of(cells: np.ndarray, normals: np.ndarray, curv: np.ndarray, tolerance: float, connectedness: int) -> np.ndarray:
+    """Index of the seed of each cell's region; regions are grown one after the other from the flattest cell left."""
+    n = len(cells)
+    order = np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))
+    lo = cells.min(0) - 1
+    size = cells.max(0) - lo + 2
+    code = ((cells - lo) @ np.array([size[1] * size[2], size[2], 1])).astype(np.int64)
+    ranked = code[order]
+    near = np.full((n, connectedness), -1, np.int64)
+    for c, s in enumerate(steps(connectedness)):
+        want = code + int(np.array(s) @ np.array([size[1] * size[2], size[2], 1]))
+        at = np.minimum(np.searchsorted(ranked, want), n - 1)
+        near[:, c] = np.where(ranked[at] == want, order[at], -1)
+    region = np.full(n, -1, np.int64)
+    for seed in np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0], curv)):
+        if region[seed] >= 0:
+            continue
+        region[seed] = seed
+        front = np.array([seed])
+        while len(front):
+            q = near[front].ravel()
+            q = np.unique(q[q >= 0])
+            q = q[region[q] < 0]
+            front = q[_like(normals[q, 0], normals[q, 1], normals[q, 2], tuple(normals[seed]), tolerance)]
+            region[front] = seed
+    return region
+
+
+def segment(a: Voxels, angular_tolerance: float = 0.1, max_curvature: float = 0.01, connectedness: int = 26, alone: int = ALONE) -> Voxels:
     """Regions of like normals: again and again the flattest cell left and what it reaches through cells that
-    are flat enough and whose normals differ by at most the tolerance. Labels count from 1."""
+    are flat enough and whose normals differ by at most the tolerance. Labels count from 1.
+
+    A region lies within a component of the flat cells, and components don't touch each other, so each is
+    segmented by itself; the seeds' order over all gives the labels."""
     if a.kind != NORMAL:
         raise ValueError("Expected normal and curvature voxel type")
     if connectedness not in (6, 26):
         raise ValueError("Connectedness should be 6 or 26")
+    values = ["nx", "ny", "nz", "curv"]
+    seeded = StructType([StructField(n, LongType()) for n in (*KEY, "si", "sj", "sk", "sc")])
+
+    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, curv = pdf[KEY].to_numpy(np.int64), pdf["curv"].to_numpy(np.int64)
+        seed = regions_of(cells, pdf[["nx", "ny", "nz"]].to_numpy(float), curv, angular_tolerance, connectedness)
+        return pd.DataFrame(np.concatenate([cells, cells[seed], curv[seed, None]], axis=1), columns=seeded.names)
+
     left = settle(a.df.where(F.col("curv") / SCALE <= max_curvature))
-    done: DataFrame | None = None
-    n = 0
-    while True:
-        seed = left.orderBy("curv", *KEY).limit(1).first()
-        if seed is None:
+    done = a.spark.createDataFrame([], seeded)
+    while not left.isEmpty():
+        held = settle(left.join(run_cells(run_labels(runs(left), connectedness), "label"), KEY))
+        size = held.groupBy("label").agg(F.count("*").alias("_n"))
+        held = settle(held.join(size, "label"))
+        done = done.unionByName(settle(held.where(F.col("_n") <= alone).groupBy("label").applyInPandas(grown, seeded)))
+        big = held.where(F.col("_n") > alone)
+        # of each large component: its seed, the cells like it, and what the seed reaches among those
+        seed = big.groupBy("label").agg(F.min_by(F.struct(*KEY, *values), F.struct("curv", *KEY)).alias("_s"))
+        big = big.join(seed, "label")
+        dot = (F.col("nx") * (F.col("_s.nx") / SCALE) + F.col("ny") * (F.col("_s.ny") / SCALE) + F.col("nz") * (F.col("_s.nz") / SCALE)) / SCALE
+        here = (F.col("gi") == F.col("_s.gi")) & (F.col("gj") == F.col("_s.gj")) & (F.col("gk") == F.col("_s.gk"))
+        like = settle(big.where((F.acos(F.least(F.abs(dot), F.lit(1.0))) <= angular_tolerance) | here).select(*KEY, "_s"))
+        if like.isEmpty():
             break
-        n += 1
-        dot = (F.col("nx") * (seed["nx"] / SCALE) + F.col("ny") * (seed["ny"] / SCALE) + F.col("nz") * (seed["nz"] / SCALE)) / SCALE
-        angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
-        here = (F.col("gi") == seed["gi"]) & (F.col("gj") == seed["gj"]) & (F.col("gk") == seed["gk"])
-        like = settle(run_labels(runs(left.where((angle <= angular_tolerance) | here)), connectedness))
-        own = like.where((F.col("gi") == seed["gi"]) & (F.col("gj") == seed["gj"]) & F.lit(seed["gk"]).between(F.col("k0"), F.col("k1"))).select("label")
-        region = settle(run_cells(like.join(own, "label", "left_semi")).withColumn("val", F.lit(n).cast("long")))
-        done = region if done is None else done.unionByName(region)
-        if n % 8 == 0:
-            done = settle(done)
-        left = settle(left.join(region.select(*KEY), KEY, "left_anti"))
-    return Voxels(done, a.grid, U32) if done is not None else Voxels.empty(a.spark, a.grid, U32)
+        parts = run_cells(run_labels(runs(like), connectedness), "label").join(like, KEY)
+        own = parts.where((F.col("gi") == F.col("_s.gi")) & (F.col("gj") == F.col("_s.gj")) & (F.col("gk") == F.col("_s.gk"))).select("label")
+        region = settle(parts.join(own, "label", "left_semi").select(*KEY, F.col("_s.gi").alias("si"), F.col("_s.gj").alias("sj"), F.col("_s.gk").alias("sk"), F.col("_s.curv").cast("long").alias("sc")))
+        done = settle(done.unionByName(region))
+        left = settle(big.select(*KEY, *values).join(region, KEY, "left_anti"))
+    seeds = ranked(done.select("sc", "si", "sj", "sk").distinct(), ["sc", "si", "sj", "sk"], "val")
+    return Voxels(done.join(seeds, ["sc", "si", "sj", "sk"]).select(*KEY, (F.col("val") + 1).alias("val")), a.grid, U32)

@@ -1,19 +1,17 @@
-"""Every operator as a query over grids made from the test tables, with the same in SQL.
+"""Every operator as a query over grids made from whole test tables, with the same in SQL where SQL ends in time.
 
-Grids: ``a`` (order lines of parts below 40, about a fifth of its box), ``b`` (parts
-20 to 59), ``c`` (parts below 150, which encloses cells), ``e`` (events, large and
-sparse). All are padded by one cell.
+Grids, all padded by one cell: ``a`` and ``b`` (all order lines by part, quantity
+and discount or tax; sparse), ``c`` (by supplier, quantity and discount; dense
+enough for large components that enclose cells), ``e`` (events). They grow with
+their tables. ``au`` and ``bu`` count the lines of a cell.
 
-The SQL of a, b and c holds a range of parts. Each query that reads them has a
-variant ``whole_*`` over all order lines, whose grids grow with the table and
-which have no SQL, as recursion over them is too slow; tests hold them against
-brute force.
+Without SQL are the queries whose SQL would flood around every component of a
+grid or grow regions one after the other; tests hold those against brute force.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +31,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_CELL = "floor(l_quantity)::BIGINT AS gi, round(l_discount * 100)::BIGINT AS gj, round(l_tax * 100)::BIGINT AS gk"
-_BOX = "gi BETWEEN 0 AND 51 AND gj BETWEEN -1 AND 11 AND gk BETWEEN -1 AND 9"
+_A = "l_partkey::BIGINT AS gi, floor(l_quantity)::BIGINT AS gj, round(l_discount * 100)::BIGINT AS gk"
+_B = _A.replace("l_discount", "l_tax")
+_C = _A.replace("l_partkey", "l_suppkey")
+_FIRST, _LAST = "(SELECT lo FROM ext)", "(SELECT hi FROM ext)"
+_BOX = f"gi BETWEEN {_FIRST} AND {_LAST} AND gj BETWEEN 0 AND 51 AND gk BETWEEN -1 AND 11"
 #: The grids, the whole box and the neighbour steps, as SQL.
 WITH = f"""
-WITH RECURSIVE a AS (SELECT DISTINCT {_CELL} FROM lineitem WHERE l_partkey < 40),
-b AS (SELECT DISTINCT {_CELL} FROM lineitem WHERE l_partkey >= 20 AND l_partkey < 60),
-c AS (SELECT DISTINCT {_CELL} FROM lineitem WHERE l_partkey < 150),
-au AS (SELECT {_CELL}, count(*)::BIGINT AS val FROM lineitem WHERE l_partkey < 40 GROUP BY ALL),
-bu AS (SELECT {_CELL}, count(*)::BIGINT AS val FROM lineitem WHERE l_partkey >= 20 AND l_partkey < 60 GROUP BY ALL),
+WITH RECURSIVE ext AS (SELECT least(min(l_partkey), min(l_suppkey)) - 1 AS lo, greatest(max(l_partkey), max(l_suppkey)) + 1 AS hi FROM lineitem),
+a AS (SELECT DISTINCT {_A} FROM lineitem WHERE l_partkey IS NOT NULL),
+b AS (SELECT DISTINCT {_B} FROM lineitem WHERE l_partkey IS NOT NULL),
+c AS (SELECT DISTINCT {_C} FROM lineitem WHERE l_suppkey IS NOT NULL),
+au AS (SELECT {_A}, count(*)::BIGINT AS val FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY ALL),
+bu AS (SELECT {_B}, count(*)::BIGINT AS val FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY ALL),
 ev AS (SELECT DISTINCT user_id AS gi, floor(hour(ts) / 6)::BIGINT AS gj, floor(value / 20)::BIGINT AS gk FROM events),
-grid AS (SELECT i AS gi, j AS gj, k AS gk FROM range(0, 52) AS x(i), range(-1, 12) AS y(j), range(-1, 10) AS z(k)),
+grid AS (SELECT i AS gi, j AS gj, k AS gk FROM (SELECT unnest(range(lo, hi + 1)) AS i FROM ext), range(0, 52) AS y(j), range(-1, 12) AS z(k)),
 n26 AS (SELECT i AS di, j AS dj, k AS dk, sqrt(i * i + j * j + k * k) AS w FROM range(-1, 2) AS x(i), range(-1, 2) AS y(j), range(-1, 2) AS z(k) WHERE i <> 0 OR j <> 0 OR k <> 0),
 n6 AS (SELECT * FROM n26 WHERE abs(di) + abs(dj) + abs(dk) = 1)
 """
@@ -61,40 +63,24 @@ def query(sql: str | None = None):
     return add
 
 
-#: Whether the grids hold all order lines.
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
 def grid_a(spark: SparkSession, sf: str) -> Voxels:
-    return tables.whole_lines(spark, sf) if _WHOLE.get() else tables.lines(spark, sf)
+    return tables.lines(spark, sf)
 
 
 def grid_b(spark: SparkSession, sf: str) -> Voxels:
-    return tables.whole_lines(spark, sf, third="l_tax") if _WHOLE.get() else tables.lines(spark, sf, 60, least=20)
+    return tables.lines(spark, sf, third="l_tax")
 
 
 def grid_c(spark: SparkSession, sf: str) -> Voxels:
-    return tables.whole_lines(spark, sf, "l_suppkey") if _WHOLE.get() else tables.lines(spark, sf, 150)
+    return tables.lines(spark, sf, "l_suppkey")
 
 
 def grid_au(spark: SparkSession, sf: str) -> Voxels:
-    return tables.whole_lines(spark, sf, value=F.count("*")) if _WHOLE.get() else tables.lines(spark, sf, value=F.count("*"))
+    return tables.lines(spark, sf, value=F.count("*"))
 
 
 def grid_bu(spark: SparkSession, sf: str) -> Voxels:
-    return tables.whole_lines(spark, sf, third="l_tax", value=F.count("*")) if _WHOLE.get() else tables.lines(spark, sf, 60, F.count("*"), 20)
-
-
-def _whole(f: Query) -> Query:
-    def run_whole(spark: SparkSession, sf: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return f(spark, sf)
-        finally:
-            _WHOLE.reset(token)
-
-    run_whole.__name__ = f"whole_{f.__name__}"
-    return run_whole
+    return tables.lines(spark, sf, third="l_tax", value=F.count("*"))
 
 
 def _one(spark: SparkSession, **values) -> DataFrame:
@@ -164,7 +150,7 @@ def offset(spark, sf):
     return M.offset(grid_a(spark, sf)).df
 
 
-@query("SELECT DISTINCT gi + i AS gi, gj + j AS gj, gk FROM a, range(-2, 3) AS x(i), range(-2, 3) AS y(j) WHERE gi + i BETWEEN 0 AND 51 AND gj + j BETWEEN -1 AND 11")
+@query("SELECT DISTINCT gi + i AS gi, gj + j AS gj, gk FROM a, ext, range(-2, 3) AS x(i), range(-2, 3) AS y(j) WHERE gi + i BETWEEN lo AND hi AND gj + j BETWEEN 0 AND 51")
 def offset_xy(spark, sf):
     return M.offset_xy(grid_a(spark, sf), 2).df
 
@@ -203,7 +189,7 @@ def less_than(spark, sf):
     return M.less_than(grid_au(spark, sf), 2).df
 
 
-@query("SELECT gi + 3 AS gi, gj, gk, val FROM au WHERE gi + 3 <= 51")
+@query("SELECT gi + 3 AS gi, gj, gk, val FROM au, ext WHERE gi + 3 <= hi")
 def shift(spark, sf):
     return M.shift(grid_au(spark, sf), 3, 0, 0).df
 
@@ -214,13 +200,14 @@ def sweep(spark, sf):
 
 
 @query("""SELECT DISTINCT gi + i AS gi, gj, gk FROM
-(SELECT *, least(51, gi + 4, coalesce((SELECT min(b.gi) - 1 FROM b WHERE b.gj = a.gj AND b.gk = a.gk AND b.gi > a.gi), 51)) AS last FROM a), range(0, 52) AS x(i) WHERE gi + i <= last""")
+(SELECT a.gi, a.gj, a.gk, least(any_value(hi), any_value(a.gi) + 4, coalesce(min(b.gi) - 1, any_value(hi))) AS last FROM a CROSS JOIN ext
+LEFT JOIN b ON b.gj = a.gj AND b.gk = a.gk AND b.gi > a.gi GROUP BY a.gi, a.gj, a.gk), range(0, 5) AS x(i) WHERE gi + i <= last""")
 def sweep_until(spark, sf):
     return M.sweep(grid_a(spark, sf), dx=1, until=grid_b(spark, sf), longest=4).df
 
 
 @query("""SELECT gi, gj, gk, CASE WHEN bool_or(s) THEN 1 ELSE max(val) END::BIGINT AS val FROM (SELECT gi, gj, gk, val, false AS s FROM au
-UNION ALL SELECT gi + i, gj, gk, 1, true FROM au, range(1, 200) AS x(i) WHERE i < 2 * val AND gi + i <= 51) GROUP BY gi, gj, gk""")
+UNION ALL SELECT gi + i, gj, gk, 1, true FROM au, ext, range(1, 200) AS x(i) WHERE i < 2 * val AND gi + i <= hi) GROUP BY gi, gj, gk""")
 def sweep_values(spark, sf):
     return M.sweep(grid_au(spark, sf), dx=2).df
 
@@ -265,7 +252,7 @@ def bounds(spark, sf):
 
 
 _REACH = """, r AS (SELECT gi AS ri, gj AS rj, gk AS rk, gi, gj, gk FROM {s} UNION
-SELECT r.ri, r.rj, r.rk, y.gi, y.gj, y.gk FROM r, {n} JOIN {g} AS y ON y.gi = r.gi + di AND y.gj = r.gj + dj AND y.gk = r.gk + dk)
+SELECT m.* FROM (SELECT ri, rj, rk, gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM r, {n}) AS m SEMI JOIN {g} AS y ON y.gi = m.gi AND y.gj = m.gj AND y.gk = m.gk)
 """
 _LABELS = _REACH.format(s="a", n="n6", g="a") + ", l AS (SELECT gi, gj, gk, min((ri, rj, rk)) AS label FROM r GROUP BY gi, gj, gk)\n"
 
@@ -290,12 +277,15 @@ def outmost(spark, sf):
     return R.outmost(grid_a(spark, sf)).df
 
 
-_OPEN = """, o AS (SELECT * FROM grid EXCEPT SELECT * FROM c),
-x AS (SELECT 0 AS gi, -1 AS gj, -1 AS gk UNION SELECT y.gi, y.gj, y.gk FROM x, n6 JOIN o AS y ON y.gi = x.gi + di AND y.gj = x.gj + dj AND y.gk = x.gk + dk)
+#: The flood keeps to the box of the cells with one around; all beyond is outside.
+_OPEN = """, box AS (SELECT min(gi) - 1 AS i0, max(gi) + 1 AS i1, min(gj) - 1 AS j0, max(gj) + 1 AS j1, min(gk) - 1 AS k0, max(gk) + 1 AS k1 FROM c),
+o AS (SELECT i AS gi, j AS gj, k AS gk FROM (SELECT unnest(range(i0, i1 + 1)) AS i FROM box), (SELECT unnest(range(j0, j1 + 1)) AS j FROM box), (SELECT unnest(range(k0, k1 + 1)) AS k FROM box) EXCEPT SELECT * FROM c),
+x AS (SELECT i0 AS gi, j0 AS gj, k0 AS gk FROM box UNION
+SELECT m.* FROM (SELECT gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM x, n6) AS m SEMI JOIN o ON o.gi = m.gi AND o.gj = m.gj AND o.gk = m.gk)
 """
 
 
-@query(_OPEN + "SELECT gi, gj, gk FROM x")
+@query(_OPEN + "SELECT gi, gj, gk FROM x UNION ALL SELECT gi, gj, gk FROM grid, box WHERE NOT (gi BETWEEN i0 AND i1 AND gj BETWEEN j0 AND j1 AND gk BETWEEN k0 AND k1)")
 def exterior(spark, sf):
     return R.exterior(grid_c(spark, sf)).df
 
@@ -305,65 +295,66 @@ def volume2(spark, sf):
     return R.volume2(grid_c(spark, sf)).df
 
 
-#: The SQL floods around the first component alone; ``volume`` covers all, which agree on the given tables.
-_LARGEST = """, r AS (SELECT gi AS ri, gj AS rj, gk AS rk, gi, gj, gk FROM c WHERE (gi, gj, gk) = (SELECT min((gi, gj, gk)) FROM c) UNION
-SELECT r.ri, r.rj, r.rk, y.gi, y.gj, y.gk FROM r, n6 JOIN c AS y ON y.gi = r.gi + di AND y.gj = r.gj + dj AND y.gk = r.gk + dk),
-m AS (SELECT gi, gj, gk FROM r),
-o AS (SELECT * FROM grid EXCEPT SELECT * FROM m),
-x AS (SELECT 0 AS gi, -1 AS gj, -1 AS gk UNION SELECT y.gi, y.gj, y.gk FROM x, n6 JOIN o AS y ON y.gi = x.gi + di AND y.gj = x.gj + dj AND y.gk = x.gk + dk)
+#: Components: what a cell reaches that is likely in the largest one, and those of the rest; then a flood around each within its box.
+_VOLUMES = """, r AS (SELECT gi, gj, gk FROM (SELECT * FROM c WHERE gj = 25 ORDER BY gi, gj, gk LIMIT 1) UNION
+SELECT m.* FROM (SELECT gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM r, n6) AS m SEMI JOIN c AS y ON y.gi = m.gi AND y.gj = m.gj AND y.gk = m.gk),
+rest AS (SELECT * FROM c EXCEPT SELECT * FROM r),
+rr AS (SELECT gi AS ri, gj AS rj, gk AS rk, gi, gj, gk FROM rest UNION
+SELECT m.* FROM (SELECT ri, rj, rk, gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM rr, n6) AS m SEMI JOIN rest AS y ON y.gi = m.gi AND y.gj = m.gj AND y.gk = m.gk),
+m AS (SELECT (NULL::BIGINT, NULL::BIGINT, NULL::BIGINT) AS label, gi, gj, gk FROM r UNION ALL SELECT min((ri, rj, rk)), gi, gj, gk FROM rr GROUP BY gi, gj, gk),
+named AS (SELECT dense_rank() OVER (ORDER BY label) AS p, gi, gj, gk FROM m),
+box AS (SELECT p, min(gi) - 1 AS i0, max(gi) + 1 AS i1, min(gj) - 1 AS j0, max(gj) + 1 AS j1, min(gk) - 1 AS k0, max(gk) + 1 AS k1 FROM named GROUP BY p),
+o AS (SELECT p, gi, gj, unnest(range(k0, k1 + 1)) AS gk FROM (SELECT p, gi, unnest(range(j0, j1 + 1)) AS gj, k0, k1 FROM (SELECT p, unnest(range(i0, i1 + 1)) AS gi, j0, j1, k0, k1 FROM box)) EXCEPT SELECT * FROM named),
+x AS (SELECT p, i0 AS gi, j0 AS gj, k0 AS gk FROM box UNION
+SELECT m.* FROM (SELECT p, gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM x, n6) AS m SEMI JOIN o ON o.p = m.p AND o.gi = m.gi AND o.gj = m.gj AND o.gk = m.gk),
+closed AS (SELECT DISTINCT gi, gj, gk FROM (SELECT * FROM o EXCEPT SELECT * FROM x))
 """
 
 
-@query(_LARGEST + "SELECT gi, gj, gk FROM o EXCEPT SELECT gi, gj, gk FROM x")
+@query(_VOLUMES + "SELECT gi, gj, gk FROM closed")
 def volume(spark, sf):
     return R.volume(grid_c(spark, sf)).df
 
 
-@query(_LARGEST + "SELECT gi, gj, gk FROM grid EXCEPT SELECT gi, gj, gk FROM x")
+@query(_VOLUMES + "SELECT gi, gj, gk FROM closed UNION SELECT * FROM c")
 def fill_volume(spark, sf):
-    return R.fill_volume(R.outmost(grid_c(spark, sf))).df
-
-
-@query()
-def fill_volume_all(spark, sf):
-    """As ``fill_volume``, whose SQL keeps one component, over all of them."""
     return R.fill_volume(grid_c(spark, sf)).df
 
 
 def _seed(v: Voxels) -> Voxels:
-    return v.with_df(v.df.where(F.col("gi") == 25).orderBy(*AXES).limit(1))
+    return v.with_df(v.df.where(F.col("gj") == 25).orderBy(*AXES).limit(1))
 
 
-_SEED = "(SELECT * FROM a WHERE gi = 25 ORDER BY gi, gj, gk LIMIT 1)"
+_SEED = "(SELECT * FROM c WHERE gj = 25 ORDER BY gi, gj, gk LIMIT 1)"
 
 
-@query(_REACH.format(s=_SEED, n="n6", g="a") + "SELECT gi, gj, gk FROM r")
+@query(_REACH.format(s=_SEED, n="n6", g="c") + "SELECT gi, gj, gk FROM r")
 def traverse(spark, sf):
-    a = grid_a(spark, sf)
-    return R.traverse(a, _seed(a)).df
+    c = grid_c(spark, sf)
+    return R.traverse(c, _seed(c)).df
 
 
-@query(_REACH.format(s=_SEED, n="n26", g="a") + "SELECT gi, gj, gk FROM r")
+@query(_REACH.format(s=_SEED, n="n26", g="c") + "SELECT gi, gj, gk FROM r")
 def traverse_corners(spark, sf):
-    a = grid_a(spark, sf)
-    return R.traverse(a, _seed(a), connectedness=26).df
+    c = grid_c(spark, sf)
+    return R.traverse(c, _seed(c), connectedness=26).df
 
 
 _DEPTH = """, p AS (SELECT gi, gj, gk, 0.0::DOUBLE AS d FROM {s} UNION
-SELECT y.gi, y.gj, y.gk, round(d + w, 9) FROM p, {n} JOIN a AS y ON y.gi = p.gi + di AND y.gj = p.gj + dj AND y.gk = p.gk + dk WHERE round(d + w, 9) <= {m} + 1e-9)
+SELECT m.* FROM (SELECT gi + di AS gi, gj + dj AS gj, gk + dk AS gk, round(d + w, 9) AS d FROM p, {n} WHERE round(d + w, 9) <= {m} + 1e-9) AS m SEMI JOIN c AS y ON y.gi = m.gi AND y.gj = m.gj AND y.gk = m.gk)
 """
 
 
 @query(_DEPTH.format(s=_SEED, n="n6", m=4) + "SELECT DISTINCT gi, gj, gk FROM p")
 def traverse_depth(spark, sf):
-    a = grid_a(spark, sf)
-    return R.traverse(a, _seed(a), depth=4).df
+    c = grid_c(spark, sf)
+    return R.traverse(c, _seed(c), depth=4).df
 
 
 @query(_DEPTH.format(s=_SEED, n="n26", m=4) + "SELECT gi, gj, gk, floor(10 * min(d) + 1)::BIGINT AS val FROM p GROUP BY gi, gj, gk")
 def traverse_distance(spark, sf):
-    a = grid_a(spark, sf)
-    return R.traverse(a, _seed(a), depth=4, connectedness=26, kind="uint").df
+    c = grid_c(spark, sf)
+    return R.traverse(c, _seed(c), depth=4, connectedness=26, kind="uint").df
 
 
 @query("SELECT bu.val AS id, count(*) AS count, min(gi) AS lo_i, min(gj) AS lo_j, min(gk) AS lo_k, max(gi) AS hi_i, max(gj) AS hi_j, max(gk) AS hi_k FROM c JOIN bu USING (gi, gj, gk) GROUP BY ALL")
@@ -444,48 +435,85 @@ def overlap(spark, sf):
     return S.overlap(boxes, near, individual_faces=False)
 
 
-@query("SELECT DISTINCT gi, gj, 4::BIGINT AS gk FROM (SELECT i AS gi, j AS gj FROM (SELECT min(gi) AS i0, max(gi) AS i1, min(gj) AS j0, max(gj) AS j1 FROM c), range(0, 52) AS x(i), range(-1, 12) AS y(j) WHERE i BETWEEN i0 - 1 + 1 AND i1 AND j BETWEEN j0 AND j1)")
+#: Cells that the set cells' box touches: one more on every side, within the grid.
+_TOUCHED = """, cb AS (SELECT min(gi) - 1 AS i0, max(gi) + 1 AS i1, min(gj) - 1 AS j0, max(gj) + 1 AS j1, min(gk) - 1 AS k0, max(gk) + 1 AS k1 FROM c)
+SELECT gi, gj, gk FROM grid, cb WHERE gi BETWEEN i0 AND i1 AND gj BETWEEN j0 AND j1 AND gk BETWEEN k0 AND k1 AND """
+
+
+@query(_TOUCHED + "gk = 4")
 def plane(spark, sf):
     c = grid_c(spark, sf)
-    p = S.plane(c, 0.0, 0.0, 1.0, -4.5)
-    cells = S.voxelize(p, 1.0, 1, padding=1, grid=c.grid)
-    lo, hi = c.bounds()
-    inside = F.lit(True)
-    for n, a in enumerate(AXES[:2]):
-        inside = inside & F.col(a).between(lo[n], hi[n])
-    return cells.df.where(inside)
+    return S.voxelize(S.plane(c, 0.0, 0.0, 1.0, -4.5), 1.0, 1, padding=1, grid=c.grid).df
 
 
-@query()
+@query(_TOUCHED + "gj <= 25")
 def halfspace(spark, sf):
     c = grid_c(spark, sf)
-    return S.voxelize(S.halfspace(c, 1.0, 0.0, 0.0, -25.5), 1.0, 1, method="volume", grid=c.grid).df
+    return S.voxelize(S.halfspace(c, 0.0, 1.0, 0.0, -25.5), 1.0, 1, method="volume", grid=c.grid).df
 
 
-@query()
+def _moved(places: str) -> str:
+    """Shells of the boxes moved up by each of some heights."""
+    return f"""{_SOLID.replace("0 AS k0, 4 AS k1 FROM n)", f"floor(0.25 + h)::BIGINT AS k0, floor(4.25 + h)::BIGINT AS k1 FROM n, (SELECT unnest({places}) AS h))").replace("range(0, 5) AS z(k)", "range(0, 9) AS z(k)").replace("AND j BETWEEN j0 AND j1)", "AND j BETWEEN j0 AND j1 AND k BETWEEN k0 AND k1)")}
+SELECT DISTINCT gi::BIGINT AS gi, gj::BIGINT AS gj, gk::BIGINT AS gk FROM v WHERE shell"""
+
+
+@query(_moved("[0, 1.125, 2.25]"))
 def local_sweep(spark, sf):
     return S.voxelize(S.local_copies(_boxes(spark, sf), 0.0, 0.0, 1.5, 1.0), 1.0, 8, padding=2).df
 
 
-@query()
+@query(_moved("[1]"))
 def local_move(spark, sf):
     return S.voxelize(S.local_copies(_boxes(spark, sf), 0.0, 0.0, 1.0, 1.0, only_last=True), 1.0, 8, padding=2).df
 
 
-@query()
+#: Scatter of the cells within a depth of 2 of each cell, its eigenvalues (l1 to l3, ascending) in closed form, in 1/32766 of their norm.
+_SPREAD = """, p AS (SELECT gi AS ri, gj AS rj, gk AS rk, gi, gj, gk, 0.0::DOUBLE AS d FROM c UNION
+SELECT m.* FROM (SELECT ri, rj, rk, gi + di AS gi, gj + dj AS gj, gk + dk AS gk, round(d + w, 9) AS d FROM p, n26 WHERE round(d + w, 9) <= 2 + 1e-9) AS m SEMI JOIN c AS y ON y.gi = m.gi AND y.gj = m.gj AND y.gk = m.gk),
+nb AS (SELECT DISTINCT ri, rj, rk, (gi - ri)::DOUBLE AS x, (gj - rj)::DOUBLE AS y, (gk - rk)::DOUBLE AS z FROM p),
+m1 AS (SELECT ri AS gi, rj AS gj, rk AS gk, sum(x * x) - sum(x) * sum(x) / count(*) AS xx, sum(y * y) - sum(y) * sum(y) / count(*) AS yy, sum(z * z) - sum(z) * sum(z) / count(*) AS zz,
+  sum(x * y) - sum(x) * sum(y) / count(*) AS xy, sum(x * z) - sum(x) * sum(z) / count(*) AS xz, sum(y * z) - sum(y) * sum(z) / count(*) AS yz FROM nb GROUP BY ALL),
+m2 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m1),
+m3 AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m2),
+m4 AS (SELECT *, CASE WHEN p < 1e-12 THEN 0 ELSE acos(greatest(-1.0, least(1.0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / pow(p, 3) / 2))) / 3 END AS f FROM m3),
+m5 AS (SELECT *, greatest(q + 2 * p * cos(f), 0) AS l3, greatest(q + 2 * p * cos(f + 2 * pi() / 3), 0) AS l1 FROM m4),
+m6 AS (SELECT *, greatest(3 * q - l1 - l3, 0) AS l2, xx + yy + zz AS trace FROM m5),
+m7 AS (SELECT *, sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS norm FROM m6),
+ev3 AS (SELECT *, CASE WHEN norm > 1e-12 THEN trunc(l1 / norm * 32766) ELSE 0 END AS q1, CASE WHEN norm > 1e-12 THEN trunc(l2 / norm * 32766) ELSE 0 END AS q2, CASE WHEN norm > 1e-12 THEN trunc(l3 / norm * 32766) ELSE 0 END AS q3,
+  CASE WHEN trace > 1e-12 THEN trunc(l1 / trace * 32766) ELSE 0 END AS qc FROM m7)
+"""
+#: Where the least eigenvalue is apart from the next, the normal is a cross product of two rows of the shifted scatter: of the three, the longest.
+_NORMAL = """, rows AS (SELECT *, xx - l1 AS a, yy - l1 AS b, zz - l1 AS c_ FROM ev3 WHERE q2 - q1 > 33),
+cross3 AS (SELECT gi, gj, gk, unnest([
+  {'x': xy * yz - xz * b, 'y': xz * xy - a * yz, 'z': a * b - xy * xy},
+  {'x': xy * c_ - xz * yz, 'y': xz * xz - a * c_, 'z': a * yz - xy * xz},
+  {'x': b * c_ - yz * yz, 'y': yz * xz - xy * c_, 'z': xy * yz - b * xz}]) AS v FROM rows),
+longest AS (SELECT gi, gj, gk, max_by(v, v.x * v.x + v.y * v.y + v.z * v.z) AS v FROM cross3 GROUP BY ALL),
+unit AS (SELECT gi, gj, gk, abs(v.x) / n AS x, abs(v.y) / n AS y, abs(v.z) / n AS z FROM (SELECT *, sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS n FROM longest))
+SELECT gi, gj, gk, round(qc / 32766, 3) AS curvature, round(trunc(x * 32766) / 32766, 2) AS x, round(trunc(y * 32766) / 32766, 2) AS y, round(trunc(z * 32766) / 32766, 2) AS z FROM ev3 LEFT JOIN unit USING (gi, gj, gk)
+"""
+
+
+@query(_SPREAD + _NORMAL)
 def normal_estimate(spark, sf):
-    return shape.normal_estimate(grid_a(spark, sf), 2).df
+    """Curvature, and the normal up to its sign, where the neighbourhood has one (its two least spreads differ)."""
+    c = grid_c(spark, sf)
+    spread = shape.dimensionality_estimate(c, max_depth=2).df.select(*AXES, (F.col("ny") - F.col("nx") > 33).alias("_one"))
+    n = shape.normal_estimate(c, 2).df.join(spread, list(AXES))
+    parts = [F.when(F.col("_one"), F.round(F.abs(F.col(f"n{x}").cast("double")) / 32766, 2)).alias(x) for x in "xyz"]
+    return n.select(*AXES, F.round(F.col("curv") / 32766, 3).alias("curvature"), *parts)
 
 
-@query()
+@query(_SPREAD + "SELECT gi, gj, gk, round(q1 / 32766, 3) AS least, round(q2 / 32766, 3) AS middle, round(q3 / 32766, 3) AS most FROM ev3")
 def dimensionality_estimate(spark, sf):
-    return shape.dimensionality_estimate(grid_a(spark, sf), max_depth=2).df
+    d = shape.dimensionality_estimate(grid_c(spark, sf), max_depth=2).df
+    return d.select(*AXES, *(F.round(F.col(c) / 32766, 3).alias(n) for c, n in (("nx", "least"), ("ny", "middle"), ("nz", "most"))))
 
 
 @query()
 def segment(spark, sf):
-    # the surface of all order lines: inside a solid no cell is flat
-    return shape.segment(shape.normal_estimate(M.edges(tables.lines(spark, sf, None)), 1), 0.5, 0.06).df
+    return shape.segment(shape.normal_estimate(grid_c(spark, sf), 1)).df
 
 
 SCRIPT = """gaps = fill_gaps(lines)
@@ -494,14 +522,14 @@ outer = outmost(around)
 """
 
 
-@query(f""", f AS (SELECT * FROM a UNION SELECT x.gi + di, x.gj + dj, x.gk + dk FROM a AS x, n6 JOIN a AS y
+@query(f""", f AS (SELECT * FROM c UNION SELECT x.gi + di, x.gj + dj, x.gk + dk FROM c AS x, n6 JOIN c AS y
 ON y.gi = x.gi + 2 * di AND y.gj = x.gj + 2 * dj AND y.gk = x.gk + 2 * dk WHERE di + dj + dk = 1),
-o AS (SELECT DISTINCT gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM f, n26 WHERE gi + di BETWEEN 0 AND 51 AND gj + dj BETWEEN -1 AND 11 AND gk + dk BETWEEN -1 AND 9 EXCEPT SELECT * FROM f)
+o AS (SELECT * FROM (SELECT DISTINCT gi + di AS gi, gj + dj AS gj, gk + dk AS gk FROM f, n26) WHERE {_BOX} EXCEPT SELECT * FROM f)
 {_REACH.format(s='(SELECT * FROM o ORDER BY gi, gj, gk LIMIT 1)', n='n6', g='o')}
 SELECT gi, gj, gk FROM r""")
 def script(spark, sf):
     """The flagship: a script that fills gaps, goes around the cells and keeps the outmost part."""
-    return Interpreter(spark, {"lines": grid_a(spark, sf)}).run(parse(SCRIPT)).df
+    return Interpreter(spark, {"lines": grid_c(spark, sf)}).run(parse(SCRIPT)).df
 
 
 @query("SELECT gi, gj, gk FROM a EXCEPT SELECT gi, gj, gk FROM b")
@@ -509,10 +537,11 @@ def run_operation(spark, sf):
     return run(spark, "subtract", grid_a(spark, sf), grid_b(spark, sf)).df
 
 
-@query(_LABELS + "SELECT count(*) AS cells, count(DISTINCT label) AS parts, max(gi) AS most FROM l")
+@query(_LABELS + "SELECT sum(n)::BIGINT AS cells, count(*) AS parts, max(most) AS most FROM (SELECT count(*) AS n, max(gi) AS most FROM l GROUP BY label HAVING count(*) >= 6)")
 def component_foreach(spark, sf):
+    """A function called with each of the larger components."""
     found = []
-    parts = R.component_foreach(grid_a(spark, sf), lambda c: found.append(c.df.agg(F.count("*"), F.max("gi")).first()))
+    parts = R.component_foreach(R.keep_components(grid_a(spark, sf), 6), lambda c: found.append(c.df.agg(F.count("*"), F.max("gi")).first()))
     return _one(spark, cells=sum(n for n, _ in found), parts=parts, most=max((i for _, i in found), default=None))
 
 
@@ -541,8 +570,3 @@ def events_offset(spark, sf):
 @query(_REACH.format(s="(SELECT * FROM ev)", n="n6", g="ev") + ", l AS (SELECT gi, gj, gk, min((ri, rj, rk)) AS label FROM r GROUP BY gi, gj, gk) SELECT count(*) AS n FROM (SELECT label FROM l GROUP BY label)")
 def events_components(spark, sf):
     return _one(spark, n=R.count_components(tables.events(spark, sf)))
-
-
-#: Read no lineitem grid, or (component_foreach) start jobs for each component.
-_NOT_WHOLE = {"count", "bounds", "voxelize", "voxelize_volume", "voxelize_ids", "overlap", "local_sweep", "local_move", "segment", "component_foreach", "events_grid", "events_offset", "events_components"}
-QUERIES.update({f"whole_{n}": _whole(f) for n, f in list(QUERIES.items()) if n not in _NOT_WHOLE})

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share; set here only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="latticeworks-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -23,3 +26,20 @@ def settle(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place from 0 in the order of ``by``, without bringing all rows into one task.
+
+    Rows are dealt by ranges; a place is that within the range after the sizes of those before."""
+    held = settle(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n")).orderBy("_part").collect()  # one row for each partition
+    before, at = [], 0
+    for r in sizes:
+        before.append((r["_part"], at))
+        at += r["_n"]
+    if not before:
+        return held.drop("_part").withColumn(name, F.lit(0).cast("long"))
+    starts = df.sparkSession.createDataFrame(before, "_part int, _at long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return held.withColumn("_i", nth).join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_i") - 1).drop("_part", "_i", "_at")

@@ -22,24 +22,16 @@ def cells(rows: DataFrame, i: Column, j: Column, k: Column, lo: Triple, hi: Trip
     return Voxels(keyed.groupBy("gi", "gj", "gk").agg(value.cast("long").alias("val")).where(grid.inside() & (F.col("val") != 0)), grid, U32)
 
 
-#: Extent of the order-line grid with one cell of padding on each side.
-LINE_LO, LINE_HI = (0, -1, -1), (51, 11, 9)
+#: Quantity, and discount or tax in hundredths, of the order-line grids, with padding.
+QUANTITY, SHARE = (0, 51), (-1, 11)
 
 
-def lines(spark: SparkSession, sf_dir: str, below: int | None = 40, value: Column | None = None, least: int = 0) -> Voxels:
-    """Order lines of a range of parts (all lines if ``below`` is None), by quantity, discount and tax."""
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax")
-    if below is not None:
-        rows = rows.where((F.col("l_partkey") < below) & (F.col("l_partkey") >= least))
-    return cells(rows, F.floor("l_quantity"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100), LINE_LO, LINE_HI, value)
-
-
-def whole_lines(spark: SparkSession, sf_dir: str, by: str = "l_partkey", third: str = "l_discount", value: Column | None = None) -> Voxels:
-    """All order lines, by a key that grows with the data, quantity and discount or tax; grids of the same table have one extent."""
+def lines(spark: SparkSession, sf_dir: str, by: str = "l_partkey", third: str = "l_discount", value: Column | None = None) -> Voxels:
+    """All order lines by a key that grows with the data, quantity and discount or tax; grids of the same table have one extent."""
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
     # the first axis holds both keys, with one cell of padding on each side
     least, most = rows.agg(F.least(F.min("l_partkey"), F.min("l_suppkey")), F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()
-    lo, hi = (int(least or 0) - 1, LINE_LO[0], LINE_LO[1]), (int(most or 0) + 1, LINE_HI[0], LINE_HI[1])
+    lo, hi = (int(least or 0) - 1, QUANTITY[0], SHARE[0]), (int(most or 0) + 1, QUANTITY[1], SHARE[1])
     return cells(rows, F.col(by), F.floor("l_quantity"), F.round(F.col(third) * 100), lo, hi, value)
 
 

@@ -11,7 +11,7 @@ import pytest
 from latticeworks import queries as reference
 
 SF = "/root/testdata/sf0.001"
-FAST = [n for n in reference.SQL if n not in ("fill_volume", "events_components", "volume", "keep_components", "describe_components", "component_foreach")]
+FAST = [n for n in reference.SQL if n not in ("fill_volume", "events_components", "keep_components", "describe_components", "volume2")]
 
 
 @pytest.fixture(scope="module")
