@@ -12,6 +12,7 @@ from latticeworks import queries as reference
 from latticeworks.grid import N6, N26, Grid
 from latticeworks.operators import shape
 from latticeworks.operators.shape import SCALE
+from latticeworks.plans import pipelines
 from latticeworks.settings import ranked
 from latticeworks.voxels import NORMAL, Voxels
 
@@ -142,3 +143,53 @@ def test_ranks_need_no_single_task(spark):
     df = spark.createDataFrame([(x * 7919 % 1000, x) for x in range(1000)], "a long, b long").repartition(7)
     assert sorted((r["a"], r["n"]) for r in ranked(df, ["a"], "n").collect()) == [(k, k) for k in range(1000)]
     assert ranked(df.where("false"), ["a"], "n").count() == 0
+
+
+def drawn(cells, d):
+    return {(i, j, k + n * (1 if d > 0 else -1)) for i, j, k in cells for n in range(abs(d))}
+
+
+def test_ready_made_analyses_of_a_room(spark):
+    grid = Grid.of_cells((-1, -1, -1), (12, 12, 9), size=0.25)
+    box = set(itertools.product(range(-1, 13), range(-1, 13), range(-1, 10)))
+    slab = set(itertools.product(range(1, 11), range(1, 11), (1, 7)))
+    wall = {(i, j, k) for i, j in itertools.product(range(1, 11), repeat=2) for k in range(2, 7) if {i, j} & {1, 10} and not (i == 1 and 3 <= j <= 7 and k < 5)}
+    door = set(itertools.product((1,), range(3, 8), (2, 3, 4)))
+    desk = {(6, 6, 2), (6, 6, 3)}
+    solid = slab | wall | desk
+
+    class Room(pipelines.Building):
+        def grid(self, include=None, exclude=()):
+            cells = {"IfcSlab": slab, "IfcDoor": door}[include[0]] if include else solid if "IfcDoor" in exclude else solid | door
+            return Voxels.cells(spark, sorted(cells), grid)
+
+    room = Room(None, size=0.25)
+    wide = {(i + x, j + y, k) for i, j, k in solid for x in (-1, 0, 1) for y in (-1, 0, 1)} & box
+    air = (drawn(solid, 2) & box) - drawn(wide, -2)
+    foot = {(i, j, k + 1) for i, j, k in slab} - slab
+    reach = flood((door & foot) - wide, air)
+    assert reach and {tuple(x) for x in room.reachable.collect()} == reach
+    high = {}
+    for i, j, k in reach:
+        n = 0
+        while n <= pipelines.HIGHEST and (i, j, k + n) not in solid and (i, j, k + n) in box:
+            n += 1
+        for m in range(n):
+            high.setdefault((i, j), set()).add(k + m)
+    want = {(i, j, min(ks), len(ks)) for (i, j), ks in high.items()}
+    assert {tuple(x) for x in pipelines.headroom(room).collect()} == want
+    feet = reach - {(i, j, k + 1) for i, j, k in reach}
+    outside = flood({min(box)}, box - solid - door)
+    near_feet = ({(i + x, j + y, k) for i, j, k in feet for x in (-1, 0, 1) for y in (-1, 0, 1)} & box) | feet
+    start = outside & near_feet
+    far, todo = dict.fromkeys(start, 0.0), sorted(start)
+    while todo:
+        p = todo.pop(0)
+        for s in N26:
+            q = (p[0] + s[0], p[1] + s[1], p[2] + s[2])
+            d = round(far[p] + math.sqrt(sum(x * x for x in s)), 9)
+            if q in reach | start and d < far.get(q, math.inf):
+                far[q] = d
+                todo.append(q)
+    want = {(*p, math.floor(10 * d + 1)) for p, d in far.items() if p in feet}
+    assert want and {tuple(x) for x in pipelines.evacuation_distance(room).collect()} == want
