@@ -184,7 +184,7 @@ def _per_component(a: Voxels) -> Voxels:
     """Floods the complement of every component at once: runs carry the component as a further key."""
     r = settle(run_labels(runs(a.df)))
     box = r.groupBy("label").agg(F.min("gi").alias("i0"), F.max("gi").alias("i1"), F.min("gj").alias("j0"), F.max("gj").alias("j1"), F.min("k0").alias("z0"), F.max("k1").alias("z1"))
-    box = settle(box.withColumn("part", F.row_number().over(Window.orderBy("label"))))
+    box = settle(box.withColumn("part", F.col("label")))
     own = r.join(box.select("label", "part"), "label").select("part", "gi", "gj", "k0", "k1")
     columns = box.select("part", "z0", "z1", F.explode(F.sequence(F.col("i0") - 1, F.col("i1") + 1)).alias("gi"), "j0", "j1")
     columns = columns.select("part", "gi", F.explode(F.sequence(F.col("j0") - 1, F.col("j1") + 1)).alias("gj"), "z0", "z1")

@@ -35,24 +35,28 @@ def values(a: Voxels) -> DataFrame:
     return (a.df if a.kind == U32 else a.df.withColumn("val", F.lit(1).cast("long"))).select("val").distinct().orderBy("val")
 
 
-def info(a: Voxels) -> dict:
-    """Count, extent, bounds and so on of a grid, in one aggregation."""
-    extra = [F.min("val"), F.max("val")] if a.kind == U32 else []
-    r = a.df.agg(F.count("*"), *box_columns(), *extra).first()
+def _described(a: Voxels, count: int, lo: tuple | None, hi: tuple | None) -> dict:
+    """Count, extent and, of set cells, their bounds in cells of the extent and in world units."""
     g = a.grid
     last = tuple(o + n - 1 for o, n in zip(g.offset, g.chunks, strict=True))
-    out = {"count": r[0], "grid": f"{fmt(g.offset)} - {fmt(last)}"}
-    if r[0]:
-        lo, hi = r[1:4], r[4:7]
+    out = {"count": count, "grid": f"{fmt(g.offset)} - {fmt(last)}"}
+    if count:
         out["bounds"] = f"{fmt(x - o for x, o in zip(lo, g.lo, strict=True))} - {fmt(x - o for x, o in zip(hi, g.lo, strict=True))}"
         out["world"] = f"{fmt(x * g.size for x in lo)} - {fmt(x * g.size for x in hi)}"
-    out |= {"bits": BITS[a.kind], "chunk_size": g.chunk}
+    return out | {"bits": BITS[a.kind], "chunk_size": g.chunk}
+
+
+def info(a: Voxels) -> dict:
+    """Count, extent, bounds and so on of a grid, in one aggregation."""
+    extra = [F.min("val"), F.max("val")] if a.kind == U32 else []
+    r = a.df.agg(F.count("*"), *box_columns(), *extra).first()
+    out = _described(a, r[0], r[1:4], r[4:7])
     if a.kind == U32:
         out |= {"min_value": r[7], "max_value": r[8]}
     return out
 
 
 def components_info(a: Voxels) -> list[dict]:
-    """One entry for each component in order: count and bounds."""
+    """One entry for each component in order, with what :func:`info` says of a bit grid of its cells."""
     rows = component_sizes(a).orderBy("label").toLocalIterator()
-    return [{"count": r["count"], "bounds": f"{fmt((r['lo_i'], r['lo_j'], r['lo_k']))} - {fmt((r['hi_i'], r['hi_j'], r['hi_k']))}"} for r in rows]
+    return [_described(a.bits(), r["count"], (r["lo_i"], r["lo_j"], r["lo_k"]), (r["hi_i"], r["hi_j"], r["hi_k"])) for r in rows]

@@ -259,7 +259,11 @@ def ears(p: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
 
 
 #: Attributes that are numbers, by position, of element types that have them.
-NUMBERS = {"IFCDOOR": ("OverallHeight", "OverallWidth"), "IFCWINDOW": ("OverallHeight", "OverallWidth")}
+NUMBERS = {
+    "IFCDOOR": {"OverallHeight": 8, "OverallWidth": 9}, "IFCWINDOW": {"OverallHeight": 8, "OverallWidth": 9}, "IFCSTAIRFLIGHT": {"RiserHeight": 10, "TreadLength": 11},
+    "IFCSITE": {"RefElevation": 11}, "IFCBUILDING": {"ElevationOfRefHeight": 9, "ElevationOfTerrain": 10}, "IFCBUILDINGSTOREY": {"Elevation": 9},
+    "IFCSPACE": {"ElevationWithFlooring": 10}, "IFCREINFORCINGBAR": {"NominalDiameter": 9, "BarLength": 11},
+}
 
 
 def camel(kind: str) -> str:
@@ -282,9 +286,11 @@ class Files:
         return replace(self, elements=self.elements.where(at if inside else ~at))
 
     def filter_attributes(self, **tests: str) -> Files:
-        """Elements whose number attributes satisfy all of ``<n``, ``>n``, ``=n``."""
+        """Elements whose number attributes satisfy all of ``<n``, ``>n``, ``=n``; a name that no type has is an error."""
         found = self.elements
         for name, test in tests.items():
+            if not any(name in own for own in NUMBERS.values()):
+                raise ValueError(f"Unknown attribute {name}")
             if not re.match(r"[<>=]", test):
                 raise ValueError(f"Unsupported filter {test}")
             v, x = F.col("attrs")[name], float(test[1:])
@@ -324,7 +330,7 @@ def parse(spark: SparkSession, pattern: str, recursive: bool = True) -> Files:
                 unit = m.unit()
                 for i, kind, a in m.products():
                     extra = a[8] if len(a) > 8 and kind in ("IFCSLAB", "IFCCOVERING", "IFCROOF") and isinstance(a[8], str) else None
-                    numbers = {x: float(v) * unit for x, v in zip(NUMBERS.get(kind, ()), a[8:10], strict=False) if isinstance(v, (int, float))}
+                    numbers = {x: float(a[n]) * unit for x, n in NUMBERS.get(kind, {}).items() if n < len(a) and isinstance(a[n], (int, float))}
                     rows.append((r.file, base(r.file) + i, a[0], camel(kind), a[2], extra, numbers))
                 yield pd.DataFrame(rows, columns=["file", "product_id", "guid", "ifc_type", "name", "predefined_type", "attrs"])
 

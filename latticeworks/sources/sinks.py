@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import AXES, N6
 from ..operators.boolean import KEY
 from ..operators.regions import components
 from ..operators.surfaces import Surfaces
+from ..settings import ranked
 from ..voxels import NORMAL, U32, Voxels
 
 
@@ -43,9 +44,8 @@ def faces(a: Voxels, mode: str = "components", groups: Voxels | None = None) ->
     if mode != "values":
         border = near.join(other.drop("other"), [f"n{x}" for x in AXES], "left_anti").select(*KEY, "axis", "side")
         if mode == "components":
-            number = F.dense_rank().over(Window.orderBy("label"))
             found = components(a)
-            numbered = found.select("label").distinct().withColumn("name", F.concat(F.lit("component"), number - 1))
+            numbered = ranked(found.select("label").distinct(), ["label"], "_n").select("label", F.concat(F.lit("component"), "_n").alias("name"))
             return border.join(found.join(numbered, "label").drop("label"), KEY)
         if mode == "groups":
             if groups is None or groups.kind != U32:
@@ -74,7 +74,7 @@ def mesh(a: Voxels, path: str, mode: str = "components", groups: Voxels | None =
     """An OBJ file of the border; groups are named, corners are shared. Written by the driver in a stream."""
     corner = triangles(faces(a, mode, groups), a.grid.size)
     points = corner.groupBy("c0", "c1", "c2").agg(*(F.sum(F.when(F.col("axis") == n, F.col("side")).otherwise(0)).alias(f"n{n}") for n in range(3)))
-    numbered = points.withColumn("id", F.row_number().over(Window.orderBy("c0", "c1", "c2")))
+    numbered = ranked(points, ["c0", "c1", "c2"], "id").withColumn("id", F.col("id") + 1)
     with Path(path).open("w") as out:
         size = a.grid.size
         for p in numbered.orderBy("id").toLocalIterator():
