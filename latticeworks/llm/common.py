@@ -47,7 +47,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._latticeworks_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete what :func:`cut` wrote, once all that was made of it is written itself; other DataFrames are left."""
+    for df in cuts:
+        path = getattr(df, "_latticeworks_path", None)
+        if path is not None:
+            drop_path(df.sparkSession, path)
 
 
 #: A column that holds a whole input row while an operator adds columns of its own.

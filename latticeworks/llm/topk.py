@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, partitions
+from .common import cut, discard, join_small, partitions
 
 K, SCALE, EVERY = 10, 1024, 100
 #: Rows of a block, blocks of a shelf, queries of a packet, shelves whose bounds are looked through at once.
@@ -250,10 +250,13 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_
         both = held.unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         both = both.repartition(partitions(spark), "shelf").sortWithinPartitions("shelf", "kind")
         rows = both.mapInArrow(_scored(k, block), "query_id long, vec_id long, score long")
-        return cut(rows.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        best = cut(rows.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        discard(sent)
+        return best
 
     first = wave(asked.withColumn("start", F.lit(NONE).cast("long")), True)
     reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("score").alias("kth"))
     asked = asked.join(reached, "qid", "left").select("dim", "qid", "v", F.coalesce("kth", F.lit(NONE)).cast("long").alias("start"))
     every_ = first.unionByName(wave(asked, False)).drop("rank")
+    discard(vectors, shelves, bounds)
     return every_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

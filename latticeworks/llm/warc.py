@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, cut, fresh_path, join_small
+from .common import arrow_fs, cut, discard, fresh_path, join_small
 
 #: Compressed size at which a file is rolled, and payload bytes of a shard.
 ROLL, SHARD = 64 << 20, 32 << 20
@@ -194,6 +194,7 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
     rows = with_roles(pages, revisit_from, id_col, url_col, html_col)
     sizes = cut(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long").alias("length")), "sizes")
     bounds = shard_bounds(sizes, shard)
+    discard(sizes)
     n = len(bounds) + 1
     which = F.lit(0)
     if bounds:
@@ -244,7 +245,10 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = 0, roll
             )
 
     placed = rows.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "sha", "url")
-    return commit(spark, path, cut(placed.mapInArrow(store, WRITTEN), "written"))
+    written = cut(placed.mapInArrow(store, WRITTEN), "written")
+    done = commit(spark, path, written)
+    discard(written)
+    return done
 
 
 def _bisect(bounds: list[int]):
