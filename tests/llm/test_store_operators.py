@@ -255,3 +255,27 @@ def test_pipeline_stages(spark, docs, nothing):
     assert out.where(F.octet_length("ids") != 4 * F.col("n_tokens")).count() == 0
 
 
+
+
+def test_pipeline_equals_plain_steps(spark):
+    import corpus_pipeline as p
+    from latticeworks.llm import bpe, quality
+    from latticeworks.llm.common import table
+
+    from .test_text_operators import PATTERNS, encoded, hits_of, library, similar
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
+    net = quality.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    rows = [x for x, s in zip(rows, quality.score_texts(net, [(t or "").encode() for _, t in rows]), strict=True) if s >= quality.THRESHOLD]
+    rows = [x for x, (i, n, c) in zip(rows, similar(rows), strict=True) if n == 0 or c == i]
+    rows = [(i, t) for i, t in rows if not hits_of(t, items)[1]]
+    tok, want = library(bpe.VOCABULARY), {}
+    for i, t in rows:
+        for kind, rx, group, least in PATTERNS:
+            t = rx.sub(lambda m, kind=kind, group=group, least=least: f"[{kind}]" if len(m[group]) >= least else m[0], t or "")
+        n, ids, decoded = encoded(tok, t)
+        want[i] = (n, ids, decoded)
+    got = p.run(spark, sf).select("doc_id", "n_tokens", F.sha2("ids", 256), "decoded_sha256").collect()
+    assert len(got) == len(want) > 50 and {r[0]: tuple(r)[1:] for r in got} == want
