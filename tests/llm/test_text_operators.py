@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,50 @@ def test_no_link_is_lost(spark, texts, block):
     assert ordered(found) == want
 
 
+def test_boilerplate_brings_few_together(spark, monkeypatch):
+    plate = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(plate + [f"o{k}_{j}" for j in range(60)])) for k in range(60)]
+    rows += [(100 + k, t + " z") for k, t in rows[::2]]
+    largest, met = [], jaccard.met
+
+    def watched(rows, cls, part, what, *block):
+        if what == "span":
+            largest.append(max(r["count"] for r in part.groupBy("root").count().collect()))
+        return met(rows, cls, part, what, *block)
+
+    monkeypatch.setattr(jaccard, "met", watched)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == ordered(similar(rows))
+    assert largest == [2]
+
+
+def test_frequent_shingles_are_bounded(spark):
+    rows = [(k, jaccard.class_of(jaccard.shingles(t)), k, t) for k, t in ((k, " ".join(["a b c d e f g h i"] * (k > 3) + [f"x{k % 9}"] * 7 + [f"y{k}"])) for k in range(60))]
+    d = spark.createDataFrame(rows, "rk long, cls long, root long, text string")
+    half, times = jaccard.frequent(d)
+    assert (np.diff(half.astype(np.int64)) > 0).all() and times.max() == 56 and times.min() >= jaccard.OFTEN
+    few, often = jaccard.frequent(d, 6)
+    assert 0 < len(few) <= 6 and often.min() >= 32 and len(jaccard.frequent(d, 0)[0]) == 0
+    known = dict(zip(half.tolist(), times.tolist(), strict=True))
+    for _, _, _, t in rows[::7]:
+        s = jaccard.shingles(t).tolist()
+        want = sorted(s, key=lambda h: (known.get(h >> 32, 0), h))[: len(s) - -(-len(s) * 4 // 5) + 1]
+        assert jaccard.rarest(np.array(s, np.uint64), half, times).tolist() == want
+
+
+def test_keys_are_let_out_in_slices(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE", 500)
+    r = random.Random(41)
+    t = [words(r, 80) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(200), pa.int64()), pa.array(range(200), pa.int64()), pa.array(t), pa.nulls(200, pa.int64()), pa.nulls(200, pa.list_(pa.int32()))], names=["id", "rk", "text", "cls", "bands"]
+    )
+    out = list(jaccard._keyed(8, 1, 8)(iter([batch])))
+    keys = [sum(len(k) for k in b["k"].to_pylist()) // 8 for b in out if b["kind"][0].as_py() == jaccard.KEYS]
+    assert max(keys) < 700 and sum(b.num_rows for b in out if b["kind"][0].as_py() == jaccard.CLASS) == 200
+    assert sum(keys) == sum(len(jaccard.keys_of(jaccard.shingles(x), n, d)[0]) for x in t for n, d in jaccard.bands_of(len(jaccard.shingles(x))))
+
+
 def test_shared_counts_what_two_sets_have_in_common():
     r = np.random.default_rng(4)
     x, y = ([np.unique(r.integers(0, 4000, r.integers(1, 900))).astype(np.uint64) for _ in range(n)] for n in (30, 70))
