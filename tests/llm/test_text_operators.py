@@ -245,6 +245,22 @@ def test_boilerplate_brings_few_together(spark, monkeypatch):
     assert largest == [2]
 
 
+def test_deduplication_sends_no_text_to_many_blocks(spark, monkeypatch):
+    plate = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(plate + [f"o{k}_{j}" for j in range(60)])) for k in range(30)]
+    rows += [(100 + k, t + " z") for k, t in rows]
+    sizes, met = [], jaccard.met
+
+    def watched(rows, cls, part, what, *block):
+        sizes.extend(r["count"] for r in part.groupBy("root").count().collect())
+        return met(rows, cls, part, what, *block)
+
+    monkeypatch.setattr(jaccard, "met", watched)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    kept = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30)) and sizes == [2] * 30
+
+
 def test_frequent_shingles_are_bounded(spark):
     rows = [(k, jaccard.class_of(jaccard.shingles(t)), k, t) for k, t in ((k, " ".join(["a b c d e f g h i"] * (k > 3) + [f"x{k % 9}"] * 7 + [f"y{k}"])) for k in range(60))]
     d = spark.createDataFrame(rows, "rk long, cls long, root long, text string")
