@@ -261,6 +261,24 @@ def test_deduplication_sends_no_text_to_many_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30)) and sizes == [2] * 30
 
 
+def test_deduplication_moves_no_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 20)
+    r = random.Random(3)
+    rows = [(k, words(r, 60)) for k in range(40)]
+    kept = jaccard.deduplicate(spark.createDataFrame(rows + [(100 + k, t) for k, t in rows[:10]], "doc_id long, text string"))
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(kept.collect()) == sorted(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    r = random.Random(4)
+    a, b, c, d = (words(r, 30) for _ in range(4))
+    rows = [(1, a), (1, a.upper()), (1, b), (2, a), (2, c), (3, c), (None, d), (None, d.upper()), (None, d), (None, ""), (None, None), (1, " "), (4, ""), (4, "")]
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a.upper()), (1, b), (2, c), (None, d.upper()), (None, ""), (None, None), (1, " "), (4, ""), (4, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_frequent_shingles_are_bounded(spark):
     rows = [(k, jaccard.class_of(jaccard.shingles(t)), k, t) for k, t in ((k, " ".join(["a b c d e f g h i"] * (k > 3) + [f"x{k % 9}"] * 7 + [f"y{k}"])) for k in range(60))]
     d = spark.createDataFrame(rows, "rk long, cls long, root long, text string")
