@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -470,6 +471,37 @@ def test_suffix_order_is_lexicographic():
     assert [data[i : i + 60] for i in order] == sorted(data[i : i + 60] for i in range(500))
 
 
+def test_a_scan_takes_as_many_steps_for_many_rows():
+    def steps(n: int) -> int:
+        called = []
+        r = random.Random(6)
+        passage = r.randbytes(500)
+        rows = [r.randbytes(150) + passage + r.randbytes(150) for _ in range(n)]
+        sys.setprofile(lambda _, event, __: called.append(event))
+        try:
+            got = suffix._scan(np.zeros(n, np.int64), rows, np.full(n, 400), np.zeros(n, bool))
+        finally:
+            sys.setprofile(None)
+        assert got[0].min() == got[1].min() == 250
+        return len(called)
+
+    assert steps(400) < 2 * steps(20)
+
+
+def test_a_merge_compares_each_pair_once(monkeypatch):
+    data = np.random.default_rng(0).integers(0, 3, 512)
+    compared, less = [], suffix.Suffixes.less
+
+    def counted(self, a, *more):
+        compared.append(len(a))
+        return less(self, a, *more)
+
+    monkeypatch.setattr(suffix.Suffixes, "less", counted)
+    order = suffix.Suffixes(data).sort(np.zeros(512, np.int64), np.arange(512), 512 - np.arange(512))
+    assert order.tolist() == sorted(range(512), key=lambda i: data[i:].tolist())
+    assert sum(compared) <= 512 * sum(range(1, 10))  # run lengths 1 to 256 take 1 to 9 steps each
+
+
 def test_suffix_dedup_keeps_columns(docs, nothing):
     assert suffix.deduplicate(docs).columns == docs.columns and suffix.report(nothing).count() == 0
 
