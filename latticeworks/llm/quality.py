@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ GROUP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 8, 48, 24
 HALF = CHUNK // 2
 #: Chunks that are convolved at once; bounds the memory of a task.
 BLOCK = 4096
+#: Texts of a batch that a task takes out at once.
+ROWS = 512
 #: Chunks that are trained on at once, and passes over the sample.
 TRAIN_BLOCK, EPOCHS = 2048, 6
 THRESHOLD = 0.3
@@ -233,12 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int
 def score(text: Column, net: Net) -> Column:
     """Column of scores, 0 to 1."""
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in batches:
-            yield pd.Series(score_texts(net, [(x or "").encode("utf-8", "replace") for x in t]), index=t.index)
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in batches:  # thousands of whole texts, of which a few are taken out at once
+            raw = t.cast(pa.binary())
+            own = [score_texts(net, [x or b"" for x in raw.slice(lo, ROWS).to_pylist()]) for lo in range(0, len(raw), ROWS)]
+            yield pa.array(np.concatenate([np.zeros(0), *own]))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return tidied(scores)(batches)
 
     return scored(text)

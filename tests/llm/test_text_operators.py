@@ -415,6 +415,17 @@ def test_scores_equal_a_plain_forward_pass(spark):
     assert all(abs(x["score"] - want[x["doc_id"]]) < 1e-4 for x in got) and len({round(x["score"], 4) for x in got}) > 5
 
 
+def test_scoring_takes_few_texts_out_of_a_batch(monkeypatch):
+    taken, sizes, score_texts = [], [], quality.score_texts
+    monkeypatch.setattr(quality.F, "arrow_udf", lambda _: lambda f: taken.append(f) or (lambda c: c))
+    monkeypatch.setattr(quality, "score_texts", lambda net, texts: sizes.append(len(texts)) or score_texts(net, texts))
+    net = quality.new_net()
+    quality.score(None, net)
+    t = [None, "", "é"] + [f"text {k} " * (k % 7) for k in range(1200)]
+    got = np.concatenate([x.to_numpy() for x in taken[0](iter([pa.array(t), pa.array([], pa.string())]))])
+    assert max(sizes) <= quality.ROWS and np.allclose(got, score_texts(net, [(x or "").encode() for x in t]), atol=1e-5)
+
+
 def test_training_in_blocks_is_the_same(monkeypatch):
     r = random.Random(17)
     texts, labels = [words(r, r.randint(5, 300)).encode() for _ in range(50)], [k % 2 for k in range(50)]
