@@ -7,13 +7,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import vectors as V
-from ..grid import AXES, Grid, key
-from ..settings import settle
+from ..grid import AXES, Grid
+from ..settings import written
 from ..voxels import BIT, U32, Voxels
 from . import regions
 from .boolean import KEY
@@ -136,23 +136,9 @@ def voxelize(s: Surfaces, size: float, chunk: int = 128, kind: str = "bit", meth
 
 def element_volumes(cells: DataFrame) -> DataFrame:
     """(product_id, cell): each element's cells and those that they enclose, all elements in one flood."""
-    cells = settle(cells)
-    box = cells.groupBy("product_id").agg(*(f(a).alias(f"{a}{n}") for a in AXES for f, n in ((F.min, "0"), (F.max, "1"))))
-    w = Window.partitionBy("product_id", "gi", "gj").orderBy("gk")
-    cols = box.select("product_id", "gj0", "gj1", "gk0", "gk1", F.explode(F.sequence(F.col("gi0") - 1, F.col("gi1") + 1)).alias("gi"))
-    cols = cols.select("product_id", "gi", F.explode(F.sequence(F.col("gj0") - 1, F.col("gj1") + 1)).alias("gj"), "gk0", "gk1")
-    ends = cols.select("product_id", "gi", "gj", (F.col("gk1") + 2).alias("gk"))
-    own = cells.select("product_id", *KEY).unionByName(ends).join(box.select("product_id", "gk0"), "product_id")
-    gaps = own.withColumn("_b", F.coalesce(F.lag("gk").over(w), F.col("gk0") - 2)).select("product_id", "gi", "gj", (F.col("_b") + 1).alias("k0"), (F.col("gk") - 1).alias("k1")).where("k1 >= k0")
-    gaps = settle(gaps.withColumn("id", F.struct("product_id", key(F.col("gi"), F.col("gj"), F.col("k0")).alias("c"))))
-    table = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ((1, 0), (0, 1))))
-    moved = gaps.withColumn("_s", F.explode(table)).select("product_id", (F.col("gi") + F.col("_s.i")).alias("gi"), (F.col("gj") + F.col("_s.j")).alias("gj"), F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("id").alias("a"))
-    met = moved.join(gaps, ["product_id", "gi", "gj"]).where("a0 <= k1 AND k0 <= a1").select("a", F.col("id").alias("b"))
-    found = regions.labels(met).withColumnRenamed("node", "id")
-    labelled = settle(gaps.join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    outside = labelled.groupBy("product_id").agg(F.min("label").alias("outside"))
-    closed = labelled.join(outside, "product_id").where("label <> outside")
-    return cells.select("product_id", *KEY).unionByName(closed.select("product_id", "gi", "gj", F.explode(F.sequence("k0", "k1")).alias("gk")))
+    cells = written(cells.select("product_id", *KEY))
+    inner = regions.enclosed(cells.withColumnRenamed("product_id", "part"))
+    return cells.unionByName(inner.withColumnRenamed("part", "product_id"))
 
 
 def _clipped(corners: list[tuple[float, float, float]], a: float, b: float, c: float, d: float) -> list[tuple]:
